@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, url_filter
+from . import decontaminate, line_dedup, packing, quality, secrets, url_filter, warc
 from .common import scan
 
 QUERIES: dict = {}
@@ -20,6 +20,29 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op1_warc(spark, sf_dir):
+    out = warc.archive_pages(scan(spark, sf_dir, "pages"))
+    return out.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
+
+
+@query(line_dedup.sql())
+def op2_line_dedup(spark, sf_dir):
+    out = line_dedup.dedup_lines(scan(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "line_dedup.*", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query(secrets.sql())
+def op4_secrets(spark, sf_dir):
+    out = secrets.find_secrets(scan(spark, sf_dir, "documents"))
+    count = lambda test: F.size(F.filter("found", test)).cast("bigint")
+    n = lambda kind: count(lambda s: s["kind"] == kind).alias(f"n_{kind}")
+    return out.select(
+        "doc_id", n("assign"), n("access"), n("hex"), F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("found")).alias("spans"),
+        count(lambda s: s["verdict"] == "live").alias("n_live"), count(lambda s: s["verdict"] == "example").alias("n_example"),
+    )
+
+
 @query()
 def op6_quality_rules(spark, sf_dir):
     judged = quality.quality(scan(spark, sf_dir, "documents"), keep=["doc_id"])
