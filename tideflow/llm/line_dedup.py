@@ -77,15 +77,15 @@ def dedup_lines(docs: DataFrame, text: str = "text", id: str = "doc_id", info: s
         F.struct(F.col("_id").alias("id"), F.col("_hash").alias("hash"), F.col("p.j").alias("j")).alias("at"), F.col("p.c.hash").alias("h"), F.col("p.c.text").alias("t")).distinct())
     owners = occurrences.groupBy("h", "t").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "t", "first")
     extra = occurrences.join(owners, ["h", "t"]).where("at != first or (at.id is null) != (first.id is null)").select("at.*")
-    gone = work.table(extra.groupBy("id", "hash").agg(F.sort_array(F.collect_set("j")).alias("gone")).withColumnsRenamed({"id": "i3", "hash": "h3"}))
+    gone = work.table(extra.groupBy("id", "hash").agg(F.sort_array(F.collect_set("j")).alias("_gone")).withColumnsRenamed({"id": "_i3", "hash": "_h3"}))
     work.drop(each, some, occurrences)
 
     columns = [c for c in docs.columns if c != info]
     out = docs.select(*columns, F.xxhash64(text).alias("_hash"))
-    out = out.join(gone, out[id].eqNullSafe(gone["i3"]) & (out["_hash"] == gone["h3"]), "left")
+    out = out.join(gone, out[id].eqNullSafe(gone["_i3"]) & (out["_hash"] == gone["_h3"]), "left")
 
     def rebuilt(c: Column) -> Column:
-        parts = F.transform(c, lambda x, j: F.struct(x["n"].alias("n"), F.when(F.coalesce(F.array_contains("gone", j), F.lit(False)), F.lit(None)).otherwise(x["text"]).alias("text")))
+        parts = F.transform(c, lambda x, j: F.struct(x["n"].alias("n"), F.when(F.coalesce(F.array_contains("_gone", j), F.lit(False)), F.lit(None)).otherwise(x["text"]).alias("text")))
         total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"])
         removed = lambda p: F.filter(p, lambda x: x["text"].isNull())
         return let(parts, lambda p: F.struct(
@@ -93,7 +93,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", id: str = "doc_id", info: s
             total(p).alias("n_lines"), F.size(p).cast("bigint").alias("n_chunks"), total(removed(p)).alias("removed_lines"), F.size(removed(p)).cast("bigint").alias("removed_chunks")))
 
     out = out.withColumn("_new", let(chunks(text_of(text)), rebuilt))
-    kept = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.col("_new.text"))
+    kept = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.col("_new.text"))
     return out.select(*[kept.alias(c) if c == text else F.col(c) for c in columns], F.struct("_new.n_lines", "_new.n_chunks", "_new.removed_lines", "_new.removed_chunks").alias(info))
 
 
