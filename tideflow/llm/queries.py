@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, packing, quality, secrets, url_filter, warc
+from . import decontaminate, line_dedup, packing, quality, secrets, suffix_dedup, toxicity, url_filter, warc
 from .common import scan
 
 QUERIES: dict = {}
@@ -32,6 +32,12 @@ def op2_line_dedup(spark, sf_dir):
     return out.select("doc_id", "line_dedup.*", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+@query()
+def op3_toxicity(spark, sf_dir):
+    docs = scan(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.classify(docs, scan(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 @query(secrets.sql())
 def op4_secrets(spark, sf_dir):
     out = secrets.find_secrets(scan(spark, sf_dir, "documents"))
@@ -43,6 +49,16 @@ def op4_secrets(spark, sf_dir):
     )
 
 
+@query()
+def op5_suffix_dedup(spark, sf_dir):
+    out = suffix_dedup.dedup_substrings(scan(spark, sf_dir, "documents").select("doc_id", "text"))
+    r = F.col("repeats")
+    return out.select(
+        "doc_id", r["n_bytes"].alias("n_bytes"), (r["n_bytes"] - F.octet_length(r["kept"])).alias("n_removed"),
+        F.size(r["spans"]).cast("bigint").alias("n_spans"), F.sha2(r["kept"], 256).alias("kept_sha256"),
+    )
+
+
 @query()
 def op6_quality_rules(spark, sf_dir):
     judged = quality.quality(scan(spark, sf_dir, "documents"), keep=["doc_id"])
