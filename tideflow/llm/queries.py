@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, packing, quality, secrets, suffix_dedup, toxicity, url_filter, warc
+from . import decontaminate, line_dedup, near_dedup, packing, quality, secrets, suffix_dedup, toxicity, url_filter, warc
 from .common import scan
 
 QUERIES: dict = {}
@@ -84,3 +84,9 @@ def op9_decontamination(spark, sf_dir):
         "doc_id", c["n_words"].alias("n_words"), c["n_hit"].alias("n_hit"), F.size(c["items"]).cast("bigint").alias("n_items"),
         F.sha2(F.array_join(F.array_sort(c["items"]), ","), 256).alias("items_sha256"), (c["n_hit"] > 0).alias("contaminated"),
     )
+
+
+@query()
+def op10_near_dedup(spark, sf_dir):
+    out = near_dedup.near_duplicates(scan(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("id").alias("doc_id"), "class_id")

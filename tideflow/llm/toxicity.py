@@ -13,7 +13,7 @@ Without labels of both classes the score is 0.5.
 
 from __future__ import annotations
 
-import zlib
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -175,11 +175,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` and the softmax probability of class 1; without a shuffle."""
-    handle = docs.sparkSession.sparkContext.broadcast(model)
+    handle, token = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     @F.pandas_udf("double")
     def probability(texts: pd.Series) -> pd.Series:
-        model, known, out = handle.value, _memory(handle.id), []
+        model, known, out = handle.value, _memory(token), []
         todo = texts.fillna("").tolist()
         for at in range(0, len(todo), 300):
             lists = [words(t) for t in todo[at : at + 300]]
@@ -194,10 +194,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     return docs.withColumn(name, probability(text_of(text)))
 
 
-_words: dict[int, dict[str, float]] = {}
+_words: dict[str, dict[str, float]] = {}
 
 
-def _memory(model: int) -> dict[str, float]:
+def _memory(model: str) -> dict[str, float]:
     """This worker's word scores under one model."""
     if model not in _words:
         _words.clear()
