@@ -3,14 +3,16 @@
 A text's k-mers are its shingles of ``SHINGLE`` words, each labelled with how often it occurred
 before. A sketch takes the ``SMALLEST`` labelled k-mers with the least hashes under a function of its
 own and keeps them in text order, so it is sensitive to order as the edit distance is. Texts with
-a sketch in common are candidates. A candidate pair is aligned inside the band that its
-similarity allows; it is linked if the aligned shingles are at least ``SIMILAR`` of all
-shingles of both, or, where the order was changed, if the Jaccard similarity of the shingle sets is.
+a sketch in common are candidates; of pairs whose shingle sets are ``SIMILAR`` (0.8), 5 in 10^8 have none.
+A candidate pair's words are aligned inside the band that its similarity allows. It is linked if
+the aligned words are at least ``SIMILAR`` of the longer text's, or, where the order was changed,
+if the Jaccard similarity of the shingle sets is. So every text with shingles that are similar to that degree is
+linked, and lightly edited copies whose edits hit many shingles are linked as well.
 
 Equal texts are one node. In each bucket the members are compared with the smallest one first;
 links merge nodes to components, and only pairs of different components are compared further,
-with twice as many members of the bucket as leaders in every round, until none is left. So
-copies of one text cost a comparison each, and no candidate pair of unlinked texts is skipped.
+with more members of the bucket as leaders in every round, until none is left. So copies of one
+text cost a comparison each, and no candidate pair of unlinked texts is skipped.
 
 Null texts are empty, and all texts without a word that are equal are copies. A document's class
 is the smallest id in its component (null if all are null).
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import Workspace, text_of
 
 SHINGLE, SIMILAR = 5, 0.8
-SKETCHES, SMALLEST = 32, 5
+SKETCHES, SMALLEST = 32, 4
 #: Words whose hashes a worker remembers, and hashes that it holds at once.
 REMEMBERED, AT_ONCE = 400_000, 1 << 20
 _SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, SKETCHES, np.uint64) | np.uint64(1)
@@ -93,11 +95,10 @@ def sketches(h: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(32)
-def _shingles(text: str) -> tuple[list[tuple], Counter]:
+def _parts(text: str) -> tuple[list[str], Counter, set[tuple]]:
     w = words(text)
-    k = min(SHINGLE, len(w)) or 1
-    s = list(zip(*[w[i:] for i in range(k)], strict=False))
-    return s, Counter(s)
+    k = min(SHINGLE, len(w))
+    return w, Counter(w), set(zip(*[w[i:] for i in range(k)], strict=False))
 
 
 def banded_lcs(a: list, b: list, band: int) -> int:
@@ -126,23 +127,20 @@ def banded_lcs(a: list, b: list, band: int) -> int:
 
 
 def similarity(x: str, y: str, least: float = SIMILAR) -> float:
-    """Aligned share of the shingles of both texts; of pairs that cannot reach ``least``, an upper bound below it.
+    """Aligned share of the longer text's words; of pairs that cannot reach ``least``, an upper bound below it.
 
     Texts whose shingle sets are similar although their order differs get the sets' Jaccard similarity.
     """
-    (a, in_a), (b, in_b) = _shingles(x), _shingles(y)
+    (a, in_a, set_a), (b, in_b, set_b) = _parts(x), _parts(y)
     if not a or not b:
         return float(not a and not b and x == y)
-    common = sum((in_a & in_b).values())
-    bound = common / (len(a) + len(b) - common)
-    aligned = bound
-    if bound >= least:
-        band = int((1 - least) / (1 + least) * (len(a) + len(b))) + 1  # indels that `least` leaves room for
-        found = banded_lcs(a, b, band)
-        aligned = found / (len(a) + len(b) - found)
+    longer = max(len(a), len(b))
+    aligned = sum((in_a & in_b).values()) / longer
+    if aligned >= least:
+        aligned = banded_lcs(a, b, int((1 - least) * longer) + 1) / longer
     if aligned < least:
-        sets = len(in_a.keys() & in_b.keys())
-        aligned = max(aligned, sets / (len(in_a) + len(in_b) - sets))
+        common = len(set_a & set_b)
+        aligned = max(aligned, common / (len(set_a) + len(set_b) - common))
     return aligned
 
 
@@ -154,16 +152,12 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("_a")).agg(F.min("component").alias("_near"))
         spread = labels.join(near, F.col("node") == F.col("_a")).select("node", "component", F.least("component", "_near").alias("next"))
         jump = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-        moved = spread.join(jump, F.col("next") == F.col("_n")).select("node", "component", F.least("next", "_c").alias("next"))
-        moved = work.table(moved)
-        changed = not moved.where("next != component").isEmpty()
+        moved = work.table(spread.join(jump, F.col("next") == F.col("_n")).select("node", F.least("next", "_c").alias("component"), (F.least("next", "_c") != F.col("component")).alias("moved")))
         work.drop(labels)
-        if not changed:
-            out = work.table(moved.select("node", "component"))
-            work.drop(moved, both)
-            return out
-        labels = work.table(moved.select("node", F.col("next").alias("component")))
-        work.drop(moved)
+        labels = moved
+        if moved.where("moved").isEmpty():
+            work.drop(both)
+            return moved.select("node", "component")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", least: float = SIMILAR) -> DataFrame:
@@ -180,7 +174,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", lea
             w = words(t)
             h = kmers(w)
             s = set(zip(*[w[i:] for i in range(min(SHINGLE, len(w)))], strict=False)) if w else ()
-            out.append((sketches(h), len(h), len(s)))
+            out.append((sketches(h), len(w), len(s)))
         return pd.DataFrame(out, columns=["keys", "n", "kinds"])
 
     @F.pandas_udf("boolean")
@@ -204,7 +198,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", lea
     fits = lambda x, y: 10 * F.least(x, y) >= F.lit(int(10 * least)) * F.greatest(x, y)
 
     def possible(pairs: DataFrame) -> DataFrame:
-        """Pairs whose numbers of shingles, in all or distinct, leave the similarity possible."""
+        """Pairs whose numbers of words or of distinct shingles leave the similarity possible."""
         for side in ("a", "b"):
             pairs = pairs.join(sizes.select(F.col("node").alias(f"_{side}"), F.col("n").alias(f"n{side}"), F.col("kinds").alias(f"k{side}")), F.col(side) == F.col(f"_{side}"))
         return pairs.where(fits(F.col("na"), F.col("nb")) | fits(F.col("ka"), F.col("kb"))).select("a", "b")
@@ -225,10 +219,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", lea
     def test(pairs: DataFrame) -> bool:
         """Verifies those pairs of different components that are not tested yet; whether there were any."""
         nonlocal links, tested, labels
-        pairs = label(label(possible(pairs.distinct()), "a", "ca"), "b", "cb").where("ca != cb").select("a", "b")
+        pairs = label(label(pairs.distinct(), "a", "ca"), "b", "cb").where("ca != cb").select("a", "b")
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = work.table(pairs)
+        pairs = work.table(possible(pairs))
         if pairs.isEmpty():
             return False
         tested = pairs if tested is None else tested.unionByName(pairs)
@@ -241,7 +235,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", lea
     stars = work.table(buckets.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
     test(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     test(stars)
-    first, stop = 1, 3
+    first, stop = 1, 8
     while True:  # leaders first..stop-1 of each bucket that still has several components
         inside = label(buckets, "node", "component")
         mixed = inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
@@ -251,7 +245,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", lea
             break
         lead = left.where((F.col("rank") >= first) & (F.col("rank") < stop)).select(F.col("key").alias("_k"), F.col("node").alias("a"), F.col("component").alias("_c"), F.col("rank").alias("_r"))
         test(left.join(lead, (F.col("key") == F.col("_k")) & (F.col("rank") > F.col("_r")) & (F.col("component") != F.col("_c"))).select("a", F.col("node").alias("b")))
-        first, stop = stop, 2 * stop + 1
+        first, stop = stop, 8 * stop
 
     own = nodes.select("node", "id", "copies")
     if labels is None:
