@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import Workspace, fresh, text_of
 
 LENGTH, KGRAM = 100, 24
-#: Bytes parsed at once, distinct phrases of a trigger and of a batch that are sorted in memory.
-CHUNK, GROUP, BATCH = 1 << 20, 20_000, 4_000
+#: Bytes parsed at once, phrases combined at once, distinct phrases of a trigger and of a batch that are sorted in memory.
+CHUNK, PHRASES, GROUP, BATCH = 1 << 20, 250_000, 20_000, 4_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _NO_ID = -(1 << 63)
@@ -131,34 +131,43 @@ PARSED = "kind tinyint, trigger bigint, content bigint, id bigint, hash bigint,
 def _parse(frames):
     """Texts to rows of kind 0 (phrases; equal ones of a batch once) and 1 (repeats: content and loc are a byte range)."""
     for frame in frames:
-        found, pieces = [], _Pieces()
-
-        def chunk(c):
-            data, begins, lengths, rows, base = c
-            first, last, at, trigger, content = phrases(data, begins, lengths)
-            part = np.searchsorted(begins, first, side="right") - 1
-            found.append((trigger, content, rows[part], _pack(first - begins[part] + base[part], at - first, last - first)))
-
+        ids, hashes = frame["id"].to_numpy(np.int64), frame["hash"].to_numpy(np.int64)
+        found, pieces, held = [], _Pieces(), 0
         for i, b in enumerate(frame["b"]):
             for c in pieces.add(i, b):
-                chunk(c)
+                found.append(_placed(*c))
+                held += len(found[-1][0])
+            if held >= PHRASES:
+                yield from _combined(found, ids, hashes)
+                found, held = [], 0
         if pieces.parts:
-            chunk(pieces.take())
-        if not found:
-            continue
-        trigger, content, row, loc = (np.concatenate(x) for x in zip(*found, strict=True))
-        ids, hashes = frame["id"].to_numpy(np.int64)[row], frame["hash"].to_numpy(np.int64)[row]
-        order = np.lexsort((loc, hashes, ids, content, trigger))
-        trigger, content, ids, hashes, loc = (x[order] for x in (trigger, content, ids, hashes, loc))
-        new = np.ones(len(order), bool)
-        new[1:] = (trigger[1:] != trigger[:-1]) | (content[1:] != content[:-1])
-        yield pd.DataFrame({"kind": np.int8(0), "trigger": trigger[new], "content": content[new], "id": ids[new], "hash": hashes[new], "loc": loc[new]})
-        head = np.flatnonzero(new)[np.cumsum(new) - 1]
-        again = ~new & ~((ids == ids[head]) & (hashes == hashes[head]) & (loc == loc[head]))
-        if again.any():
-            ids, hashes, (start, _, more) = ids[again], hashes[again], _unpack(loc[again])
-            ids, hashes, start, stop = union(ids, hashes, start, start + more + LENGTH)
-            yield pd.DataFrame({"kind": np.int8(1), "trigger": hashes ^ ids, "content": start, "id": ids, "hash": hashes, "loc": stop})
+            found.append(_placed(*pieces.take()))
+        if found:
+            yield from _combined(found, ids, hashes)
+
+
+def _placed(data, begins, lengths, rows, base):
+    first, last, at, trigger, content = phrases(data, begins, lengths)
+    part = np.searchsorted(begins, first, side="right") - 1
+    return trigger, content, rows[part], _pack(first - begins[part] + base[part], at - first, last - first)
+
+
+def _combined(found, ids, hashes):
+    trigger, content, row, loc = (np.concatenate(x) for x in zip(*found, strict=True))
+    if not len(row):
+        return
+    ids, hashes = ids[row], hashes[row]
+    order = np.lexsort((loc, hashes, ids, content, trigger))
+    trigger, content, ids, hashes, loc = (x[order] for x in (trigger, content, ids, hashes, loc))
+    new = np.ones(len(order), bool)
+    new[1:] = (trigger[1:] != trigger[:-1]) | (content[1:] != content[:-1])
+    yield pd.DataFrame({"kind": np.int8(0), "trigger": trigger[new], "content": content[new], "id": ids[new], "hash": hashes[new], "loc": loc[new]})
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    again = ~new & ~((ids == ids[head]) & (hashes == hashes[head]) & (loc == loc[head]))
+    if again.any():
+        ids, hashes, (start, _, more) = ids[again], hashes[again], _unpack(loc[again])
+        ids, hashes, start, stop = union(ids, hashes, start, start + more + LENGTH)
+        yield pd.DataFrame({"kind": np.int8(1), "trigger": hashes ^ ids, "content": start, "id": ids, "hash": hashes, "loc": stop})
 
 
 def union(ids, hashes, start, stop):
