@@ -91,5 +91,8 @@ def cogroup_apply(left: DataFrame, right: DataFrame, key: Keys, fn: Callable, sc
 
 
 def per_partition(df: DataFrame, key: Keys, partitions: int, fn: Callable, schema: str, order_by: Sequence[Column | str] = ()) -> DataFrame:
-    """Opaque code once per hash partition, empty ones included: ``fn`` gets an iterator of Arrow batches sorted by key."""
+    """Opaque code once per hash partition, empty ones included: ``fn`` gets an iterator of Arrow batches sorted by key.
+
+    A relation that the optimizer proves to be empty is not run at all.
+    """
     return shuffle(df, key, partitions, order_by).mapInArrow(fn, schema)

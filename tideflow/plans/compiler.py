@@ -89,7 +89,10 @@ class Compiler:
             return None
         if df.isEmpty():
             return df.limit(0).toArrow()
-        if (n := estimated_bytes(df)) > OPAQUE_BROADCAST_LIMIT:
+        n = estimated_bytes(df)
+        if n > OPAQUE_BROADCAST_LIMIT:  # the estimate may be a guess: measure
+            n = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0] or 0
+        if n > OPAQUE_BROADCAST_LIMIT:
             raise ProcessorDefinitionError(f"port {name}: {n} bytes are too many to broadcast to opaque code; use a join")
         return df.toArrow()
 
