@@ -21,7 +21,7 @@ is the smallest id in its component (null if all are null).
 from __future__ import annotations
 
 from collections import Counter
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -94,11 +94,20 @@ def sketches(h: np.ndarray) -> np.ndarray:
     return _mix(np.concatenate(keys)).view(np.int64)
 
 
-@lru_cache(32)
-def _parts(text: str) -> tuple[list[str], Counter, set[tuple]]:
-    w = words(text)
-    k = min(SHINGLE, len(w))
-    return w, Counter(w), set(zip(*[w[i:] for i in range(k)], strict=False))
+class _Parts:
+    """Words of a text, its bag of words as a set (a word, and pairs for its further occurrences) and, when asked for, its shingles."""
+
+    def __init__(self, text: str):
+        self.words = words(text)
+        counts = Counter(self.words)
+        self.bag = set(counts) | {(w, i) for w, n in counts.items() if n > 1 for i in range(1, n)}
+
+    @cached_property
+    def shingles(self) -> set[tuple]:
+        return set(zip(*[self.words[i:] for i in range(min(SHINGLE, len(self.words)))], strict=False))
+
+
+_parts = lru_cache(32)(_Parts)
 
 
 def banded_lcs(a: list, b: list, band: int) -> int:
@@ -131,22 +140,26 @@ def similarity(x: str, y: str, least: float = SIMILAR) -> float:
 
     Texts whose shingle sets are similar although their order differs get the sets' Jaccard similarity.
     """
-    (a, in_a, set_a), (b, in_b, set_b) = _parts(x), _parts(y)
+    of_a, of_b = _parts(x), _parts(y)
+    a, b = of_a.words, of_b.words
     if not a or not b:
         return float(not a and not b and x == y)
     longer = max(len(a), len(b))
-    aligned = sum((in_a & in_b).values()) / longer
+    aligned = len(of_a.bag & of_b.bag) / longer
     if aligned >= least:
         aligned = banded_lcs(a, b, int((1 - least) * longer) + 1) / longer
     if aligned < least:
-        common = len(set_a & set_b)
-        aligned = max(aligned, common / (len(set_a) + len(set_b) - common))
+        common = len(of_a.shingles & of_b.shingles)
+        aligned = max(aligned, common / (len(of_a.shingles) + len(of_b.shingles) - common))
     return aligned
 
 
 def components(edges: DataFrame, work: Workspace) -> DataFrame:
-    """Nodes of edges (a, b) and ``component``, the smallest node that they reach: labels spread and jump until none changes."""
-    both = work.table(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    """Nodes of edges (a, b) and ``component``, the smallest node that they reach: labels spread and jump until none changes.
+
+    ``edges`` is read in every step: pass a written table.
+    """
+    both = edges.select("a", "b").union(edges.select("b", "a"))
     labels = work.table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")))
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("_a")).agg(F.min("component").alias("_near"))
@@ -156,7 +169,6 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
         work.drop(labels)
         labels = moved
         if moved.where("moved").isEmpty():
-            work.drop(both)
             return moved.select("node", "component")
 
 
@@ -201,14 +213,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", lea
         """Pairs whose numbers of words or of distinct shingles leave the similarity possible."""
         for side in ("a", "b"):
             pairs = pairs.join(sizes.select(F.col("node").alias(f"_{side}"), F.col("n").alias(f"n{side}"), F.col("kinds").alias(f"k{side}")), F.col(side) == F.col(f"_{side}"))
-        return pairs.where(fits(F.col("na"), F.col("nb")) | fits(F.col("ka"), F.col("kb"))).select("a", "b")
+        return pairs.where(fits(F.col("na"), F.col("nb")) | fits(F.col("ka"), F.col("kb"))).select("a", "b", "ca", "cb")
 
     def verified(pairs: DataFrame) -> DataFrame:
         one = pairs.join(texts.select(F.col("node").alias("_na"), F.col("text").alias("ta")), F.col("a") == F.col("_na"))
         both = one.join(texts.select(F.col("node").alias("_nb"), F.col("text").alias("tb")), F.col("b") == F.col("_nb"))
-        return both.where(similar("ta", "tb")).select("a", "b")
+        return both.where(similar("ta", "tb")).select("ca", "cb")
 
-    links, tested, labels = None, None, None
+    tested, labels = None, None
 
     def label(df: DataFrame, column: str, name: str) -> DataFrame:
         if labels is None:
@@ -216,20 +228,28 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", lea
         own = labels.select(F.col("node").alias("_l"), F.col("component").alias("_c"))
         return df.join(own, F.col(column) == F.col("_l"), "left").withColumn(name, F.coalesce("_c", column)).drop("_l", "_c")
 
+    def merged(moves: DataFrame) -> DataFrame:
+        """The labels after ``moves`` of components; nodes without a label so far are components of their own."""
+        if labels is None:
+            return moves
+        to = moves.select(F.col("node").alias("_from"), F.col("component").alias("_to"))
+        old = labels.join(to, F.col("component") == F.col("_from"), "left").select("node", F.coalesce("_to", "component").alias("component"))
+        return work.table(old.unionByName(moves.join(labels.select("node"), "node", "left_anti")))
+
     def test(pairs: DataFrame) -> bool:
         """Verifies those pairs of different components that are not tested yet; whether there were any."""
-        nonlocal links, tested, labels
-        pairs = label(label(pairs.distinct(), "a", "ca"), "b", "cb").where("ca != cb").select("a", "b")
+        nonlocal tested, labels
+        pairs = label(label(pairs.distinct(), "a", "ca"), "b", "cb").where("ca != cb").select("a", "b", "ca", "cb")
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = work.table(possible(pairs))
+        pairs = work.table(possible(pairs).sortWithinPartitions("a"))  # so that a worker still has the words of a
         if pairs.isEmpty():
             return False
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        done = pairs.select("a", "b")
+        tested = done if tested is None else tested.unionByName(done)
         new = work.table(verified(pairs))
-        links = new if links is None else links.unionByName(new)
         if not new.isEmpty():
-            labels = components(links, work)
+            labels = merged(components(new.select(F.col("ca").alias("a"), F.col("cb").alias("b")), work))
         return True
 
     stars = work.table(buckets.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
