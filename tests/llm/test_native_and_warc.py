@@ -99,6 +99,16 @@ def test_line_dedup_removes_and_keeps(spark, odd_docs, no_docs):
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
 
+def test_line_dedup_with_clashing_hashes(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(60)
+    rows = lambda: sorted(map(repr, line_dedup.dedup_lines(docs).collect()))
+    want = rows()
+    monkeypatch.setattr(line_dedup, "FILTER_BITS", 1 << 15)
+    assert rows() == want
+    monkeypatch.setattr(line_dedup, "chunk_hash", lambda t: line_dedup.F.length(t).cast("bigint") % 7 - 3)
+    assert rows() == want
+
+
 @pytest.mark.parametrize("name", ["op2_line_dedup", "op4_secrets", "op7_url_filter"])
 def test_queries_equal_their_sql(spark, sf_dir, name):
     con = duckdb.connect()

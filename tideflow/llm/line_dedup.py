@@ -3,8 +3,8 @@
 A rolling hash over the hashes of the last ``WIDTH`` lines chooses chunk ends, so boundaries
 depend on nearby lines alone and resynchronise after insertions. A chunk of at least
 ``LEAST_LINES`` lines with a word whose bytes occur earlier in the corpus (smaller id, or
-earlier in the same document) is removed. Hashes only choose candidates; candidates are
-grouped by their bytes.
+earlier in the same document) is removed. Hashes only choose candidates: texts whose hash
+repeats are grouped by their bytes, and where all bytes of a hash are equal, it stands for them.
 
 Null texts count as empty and stay null if nothing is removed from them. Rows with equal id and
 text are one document to the operator and come out alike. Documents that lose every line
@@ -16,11 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, same, text_of
+from .common import Workspace, text_of
 from .secrets import let
 
 #: Lines in the rolling hash, mean lines of a chunk, least lines with a word of a chunk that can go.
 WIDTH, MEAN, LEAST_LINES = 3, 4, 2
+#: Bits of the filter of repeated hashes, 32 MB in bitmaps of 32768 bits. It only spares shuffling texts: a full one lets all through.
+FILTER_BITS = 1 << 28
 BASE, PRIME = 131, 2_147_483_647
 
 
@@ -42,6 +44,10 @@ def ends(hashes: Column) -> Column:
     return F.filter(F.sequence(F.lit(0), last), lambda i: (rolling(i) % MEAN == 0) | (i == last))
 
 
+def chunk_hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
 def chunks(text: Column) -> Column:
     """Array of (first, n, hash, text) of the chunks; hash is null where a chunk has too few lines with a word."""
 
@@ -53,7 +59,7 @@ def chunks(text: Column) -> Column:
             own = F.slice(lines, first + 1, F.get(e, j) - first + 1)
             return let(own, lambda o: let(F.array_join(o, "\n"), lambda t: F.struct(
                 first.alias("first"), F.size(o).alias("n"),
-                F.when(F.size(F.filter(o, lambda line: F.rlike(line, F.lit(r"[^\x20\x09-\x0D]")))) >= LEAST_LINES, F.xxhash64(t)).alias("hash"), t.alias("text"))))
+                F.when(F.size(F.filter(o, lambda line: F.rlike(line, F.lit(r"[^\x20\x09-\x0D]")))) >= LEAST_LINES, chunk_hash(t)).alias("hash"), t.alias("text"))))
 
         return F.transform(F.sequence(F.lit(0), F.size(e) - 1), one)
 
@@ -61,28 +67,60 @@ def chunks(text: Column) -> Column:
     return let(let(F.split(text, "\n", -1), with_ends), cut)
 
 
+def places(h: Column) -> tuple[Column, Column]:
+    """Bitmap and bit of a hash in the filter."""
+    at = F.pmod(h, F.lit(FILTER_BITS))
+    return F.shiftright(at, 15).alias("_bucket"), at.bitwiseAND(32767).alias("_bit")
+
+
+def repeated(hashes: DataFrame, work: Workspace) -> DataFrame:
+    """Bitmaps (_bucket, _bits) of the values of ``h`` that occur twice or more: at most ``FILTER_BITS`` bits, however many rows."""
+    often = hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    # dealt by bitmap first, so that no task holds partial copies of all of them
+    bits = often.select(*places(F.col("h"))).repartition("_bucket")
+    return work.table(bits.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits")))
+
+
+def maybe(df: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``h`` is in the filter: all that repeat, and a share of others that grows with its load."""
+    bucket, bit = places(F.col("h"))
+    near = df.withColumns({"_own": bucket, "_bit": bit}).join(F.broadcast(bitmaps), F.col("_own") == F.col("_bucket"))
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright("_bit", 3) + 1, 1)), 16, 10).cast("int")
+    return near.where(F.getbit(byte, F.col("_bit").bitwiseAND(7).cast("int")) == 1).select(*df.columns)
+
+
 def dedup_lines(docs: DataFrame, text: str = "text", id: str = "doc_id", info: str = "line_dedup") -> DataFrame:
     """``docs`` with the text that is left, and a struct ``info`` of n_lines, n_chunks, removed_lines, removed_chunks."""
     work = Workspace(docs.sparkSession, "lines")
-    key = docs.select(F.col(id).alias("_id"), F.xxhash64(text).alias("_hash"), chunks(text_of(text)).alias("_chunks"))
-    whole = lambda x: x["hash"].isNotNull()
-    light = F.transform(F.filter(F.transform("_chunks", lambda x, j: F.struct(j.alias("j"), x["hash"].alias("hash"))), whole), lambda x: x)
-    each = work.table(key.select("_id", "_hash", F.explode(light).alias("c")).select("_id", "_hash", "c.j", F.col("c.hash").alias("h")).distinct())
-    often = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    some = work.table(each.join(often, "h", "left_semi").groupBy("_id", "_hash").agg(F.collect_list("j").alias("js")))
-
-    wanted = key.join(some.select(F.col("_id").alias("i2"), F.col("_hash").alias("h2"), "js"), F.col("_id").eqNullSafe(F.col("i2")) & (F.col("_hash") == F.col("h2")))
-    picked = F.explode(F.transform("js", lambda j: F.struct(j.alias("j"), F.get(F.col("_chunks"), j).alias("c"))))
-    occurrences = work.table(wanted.select("_id", "_hash", picked.alias("p")).select(
-        F.struct(F.col("_id").alias("id"), F.col("_hash").alias("hash"), F.col("p.j").alias("j")).alias("at"), F.col("p.c.hash").alias("h"), F.col("p.c.text").alias("t")).distinct())
-    owners = occurrences.groupBy("h", "t").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "t", "first")
-    extra = occurrences.join(owners, ["h", "t"]).where("at != first or (at.id is null) != (first.id is null)").select("at.*")
+    numbered = F.transform(chunks(text_of(text)), lambda x, j: F.struct(j.alias("j"), x["hash"].alias("h"), x["text"].alias("t")))
+    whole = F.filter(numbered, lambda x: x["h"].isNotNull())
+    key = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("hash"), whole.alias("_chunks"))
+    light = F.transform("_chunks", lambda x: F.struct(x["j"].alias("j"), x["h"].alias("h")))
+    each = work.table(key.select("id", "hash", F.explode(light).alias("c")).select(F.struct("id", "hash", "c.j").alias("at"), F.col("c.h").alias("h")))
+    bitmaps = repeated(each, work)
+
+    def compared(candidates: DataFrame) -> DataFrame:
+        """Per hash and bytes the first and last place; equal rows have equal places."""
+        return candidates.groupBy("h", "t").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+
+    texts = maybe(key.select("id", "hash", F.explode("_chunks").alias("c")).select(F.struct("id", "hash", "c.j").alias("at"), F.col("c.h").alias("h"), F.col("c.t").alias("t")), bitmaps)
+    groups = work.table(compared(texts).select("h", "first", "last"))
+    owners = work.table(groups.groupBy("h").agg(F.count("*").alias("kinds"), F.min("first").alias("first"), F.max("last").alias("last")))
+    later = ~F.col("at").eqNullSafe(F.col("first"))
+    # all bytes with such a hash are equal, so the hash stands for them
+    alone = owners.where((F.col("kinds") == 1) & ~F.col("first").eqNullSafe(F.col("last"))).select("h", "first")
+    extra = maybe(each, bitmaps).join(alone, "h").where(later).select("at.*")
+    clashes = owners.where("kinds > 1").select("h")
+    if not clashes.isEmpty():
+        clashing = work.table(texts.join(clashes, "h", "left_semi"))
+        extra = extra.unionByName(clashing.join(compared(clashing), ["h", "t"]).where(later).select("at.*"))
     gone = work.table(extra.groupBy("id", "hash").agg(F.sort_array(F.collect_set("j")).alias("_gone")).withColumnsRenamed({"id": "_i3", "hash": "_h3"}))
-    work.drop(each, some, occurrences)
+    work.drop(each, bitmaps, groups, owners)
 
     columns = [c for c in docs.columns if c != info]
     out = docs.select(*columns, F.xxhash64(text).alias("_hash"))
-    out = out.join(gone, out[id].eqNullSafe(gone["_i3"]) & (out["_hash"] == gone["_h3"]), "left")
+    # gone grows with the input; without a sort, texts are shuffled once and do not spill
+    out = out.join(gone.hint("shuffle_hash"), out[id].eqNullSafe(gone["_i3"]) & (out["_hash"] == gone["_h3"]), "left")
 
     def rebuilt(c: Column) -> Column:
         parts = F.transform(c, lambda x, j: F.struct(x["n"].alias("n"), F.when(F.coalesce(F.array_contains("_gone", j), F.lit(False)), F.lit(None)).otherwise(x["text"]).alias("text")))
