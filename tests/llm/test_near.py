@@ -115,6 +115,22 @@ def test_classes_against_brute_force(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values()))
 
 
+def test_reordered_and_repeated_copies(spark):
+    """Shingle sets alike, but order and counts are not."""
+    rng = random.Random(31)
+    docs = []
+    for _ in range(12):
+        parts = [[f"p{rng.randrange(10**6)}" for _ in range(40)] for _ in range(10)]
+        docs += [parts, parts[::-1], rng.sample(parts, 10)]
+        docs += [[parts[0]] * 2, [parts[0]] * 9]
+    texts = [" ".join(w for part in d for w in part) for d in docs]
+    sets, pairs = [shingles(t) for t in texts], list(itertools.combinations(range(len(texts)), 2))
+    want = partition(len(texts), [(i, j) for i, j in pairs if jaccard(sets[i], sets[j]) >= 0.8])
+    assert sum(i != c for i, c in enumerate(want)) == 36
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.id: r.class_id for r in near_dedup.near_duplicates(frame).collect()} == dict(enumerate(want))
+
+
 def test_query_covers_all_rows(spark, sf_dir, documents):
     got = queries.QUERIES["op10_near_dedup"](spark, sf_dir).toPandas()
     assert sorted(got.doc_id) == sorted(documents.doc_id)

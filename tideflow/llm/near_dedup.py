@@ -2,8 +2,9 @@
 
 A text's k-mers are its shingles of ``SHINGLE`` words, each labelled with how often it occurred
 before. A sketch takes the ``SMALLEST`` labelled k-mers with the least hashes under a function of its
-own and keeps them in text order, so it is sensitive to order as the edit distance is. Texts with
-a sketch in common are candidates; of pairs whose shingle sets are ``SIMILAR`` (0.8), 5 in 10^8 have none.
+own and keeps them in text order, so it is sensitive to order as the edit distance is. A band is ``ROWS``
+minima over the set of shingles, whatever their order and number. Texts with a sketch or a band in
+common are candidates; of pairs whose shingle sets are ``SIMILAR`` (0.8), 5 in 10^8 have no band in common.
 A candidate pair's words are aligned inside the band that its similarity allows. It is linked if
 the aligned words are at least ``SIMILAR`` of the longer text's, or, where the order was changed,
 if the Jaccard similarity of the shingle sets is. So every text with shingles that are similar to that degree is
@@ -33,9 +34,11 @@ from .common import Workspace, text_of
 
 SHINGLE, SIMILAR = 5, 0.8
 SKETCHES, SMALLEST = 32, 4
+BANDS, ROWS = 32, 4
 #: Words whose hashes a worker remembers, and hashes that it holds at once.
 REMEMBERED, AT_ONCE = 400_000, 1 << 20
 _SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, SKETCHES, np.uint64) | np.uint64(1)
+_BAND_SEEDS = np.random.default_rng(20240301).integers(1, 1 << 63, BANDS * ROWS, np.uint64) | np.uint64(1)
 
 
 class _Hashes(dict):
@@ -56,8 +59,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def kmers(w: list[str]) -> np.ndarray:
-    """Hashes of the shingles, each labelled with its number of earlier occurrences."""
+def _rolled(w: list[str]) -> np.ndarray:
     if not w:
         return np.empty(0, np.uint64)
     hashes = np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w))
@@ -66,6 +68,20 @@ def kmers(w: list[str]) -> np.ndarray:
     h = np.zeros(n, np.uint64)
     for i in range(k):
         h = h * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n]
+    return h
+
+
+def distinct(w: list[str]) -> np.ndarray:
+    """Hashes of the set of shingles."""
+    return _mix(np.unique(_rolled(w)))
+
+
+def kmers(w: list[str]) -> np.ndarray:
+    """Hashes of the shingles, each labelled with its number of earlier occurrences."""
+    h = _rolled(w)
+    n = len(h)
+    if not n:
+        return h
     order = np.argsort(h, kind="stable")
     s = h[order]
     new = np.concatenate(([True], s[1:] != s[:-1]))
@@ -94,6 +110,25 @@ def sketches(h: np.ndarray) -> np.ndarray:
     return _mix(np.concatenate(keys)).view(np.int64)
 
 
+def bands(h: np.ndarray) -> np.ndarray:
+    """A key for each band of a set of shingles; none for texts without words."""
+    n = len(h)
+    if not n:
+        return np.empty(0, np.int64)
+    least = []
+    step = max(1, AT_ONCE // n)
+    for begin in range(0, BANDS * ROWS, step):
+        own = h * _BAND_SEEDS[begin : begin + step, None]
+        own ^= own >> np.uint64(31)
+        own *= np.uint64(0x9E3779B97F4A7C15)
+        least.append(own.min(axis=1))
+    rows = np.concatenate(least).reshape(BANDS, ROWS)
+    key = np.arange(SKETCHES, SKETCHES + BANDS, dtype=np.uint64)
+    for i in range(ROWS):
+        key = key * np.uint64(0xD6E8FEB86659FD93) + rows[:, i]
+    return _mix(key).view(np.int64)
+
+
 @lru_cache(32)
 def _parts(text: str) -> tuple[list[str], Counter, set[tuple]]:
     w = words(text)
@@ -174,9 +209,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", lea
             if len(_hashes) > REMEMBERED:
                 _hashes.clear()
             w = words(t)
-            h = kmers(w)
-            s = set(zip(*[w[i:] for i in range(min(SHINGLE, len(w)))], strict=False)) if w else ()
-            out.append((sketches(h), len(w), len(s)))
+            s = distinct(w)
+            out.append((np.concatenate((sketches(kmers(w)), bands(s))), len(w), len(s)))
         return pd.DataFrame(out, columns=["keys", "n", "kinds"])
 
     @F.pandas_udf("boolean")
