@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from tideflow.llm import near_dedup, queries
@@ -53,6 +54,48 @@ def test_similarity_threshold():
     assert near_dedup.similarity("", "a b") == 0.0
 
 
+def test_links_need_shingle_similarity():
+    base = [f"w{i}" for i in range(300)]
+    text = " ".join(base)
+    for edits in range(0, 12):
+        other = list(base)
+        for e in range(edits):
+            other[10 + e * 25] = f"x{e}"
+        other = " ".join(other)
+        assert (near_dedup.shingle_similarity(text, other) >= 0.8) == (jaccard(shingles(text), shingles(other)) >= 0.8)
+    repeats = " ".join(base[:40] * 9)
+    assert near_dedup.shingle_similarity(" ".join(base[:40] * 2), repeats) == 1.0
+    assert near_dedup.shingle_similarity(repeats + " a b c d e f g h i j k l m n o p", repeats) >= 0.8 > jaccard(shingles(repeats + " a b c d e f g h i j k l m n o p"), shingles(repeats))
+    assert near_dedup.shingle_similarity("", "a b") == 0.0 and near_dedup.shingle_similarity("", "") == 1.0
+
+
+def edited_copies(rng):
+    """Copies of one text with up to 12 edits, copies of those, and a passage in many texts."""
+    word = lambda: f"q{rng.randrange(10**6)}"
+    base, passage = [word() for _ in range(150)], [word() for _ in range(60)]
+    docs = []
+    for i in range(160):
+        copy = list(base) if i < 120 or not docs else list(rng.choice(docs))
+        for _ in range(rng.randrange(0, 13 if i < 120 else 3)):
+            copy[rng.randrange(len(copy))] = word()
+        docs.append(copy)
+    docs += [[word() for _ in range(20)] + passage + [word() for _ in range(20)] for _ in range(40)]
+    docs += [passage * rng.randrange(1, 5) + [word() for _ in range(rng.randrange(0, 40))] for _ in range(40)]
+    return [" ".join(d) for d in docs]
+
+
+@pytest.mark.parametrize("large", [1, 8, 64])
+def test_edited_copies_link_by_shingles(spark, monkeypatch, large):
+    """The classes of the rule itself, also where first shingles take the place of large buckets."""
+    monkeypatch.setattr(near_dedup, "LARGE", large)
+    texts = edited_copies(random.Random(12))
+    pairs = itertools.combinations(range(len(texts)), 2)
+    want = partition(len(texts), [(i, j) for i, j in pairs if near_dedup.shingle_similarity(texts[i], texts[j]) >= 0.8])
+    assert len(set(want)) > 60
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    assert {r.id: r.class_id for r in near_dedup.near_duplicates(frame).collect()} == dict(enumerate(want))
+
+
 def test_sketches_depend_on_order_and_labels():
     a = [f"w{i}" for i in range(40)]
     one, again = near_dedup.sketches(near_dedup.kmers(a)), near_dedup.sketches(near_dedup.kmers(list(a)))

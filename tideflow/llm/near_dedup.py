@@ -5,15 +5,19 @@ before. A sketch takes the ``SMALLEST`` labelled k-mers with the least hashes un
 own and keeps them in text order, so it is sensitive to order as the edit distance is. A band is ``ROWS``
 minima over the set of shingles, whatever their order and number. Texts with a sketch or a band in
 common are candidates; of pairs whose shingle sets are ``SIMILAR`` (0.8), 5 in 10^8 have no band in common.
-A candidate pair's words are aligned inside the band that its similarity allows. It is linked if
-the aligned words are at least ``SIMILAR`` of the longer text's, or, where the order was changed,
-if the Jaccard similarity of the shingle sets is. So every text with shingles that are similar to that degree is
-linked, and lightly edited copies whose edits hit many shingles are linked as well.
+A candidate pair is linked if the Jaccard similarity of the shingle sets is at least ``SIMILAR``, or
+if the shingles aligned inside the band that this leaves room for are that share of all of both.
 
-Equal texts are one node. In each bucket the members are compared with the smallest one first;
+Equal texts are one node. In each bucket the members are compared with one leader first;
 links merge nodes to components, and only pairs of different components are compared further,
 with more members of the bucket as leaders in every round, until none is left. So copies of one
-text cost a comparison each, and no candidate pair of unlinked texts is skipped.
+text cost a comparison each, and no pair in a bucket that can be similar is skipped.
+
+Buckets of more than ``LARGE`` texts are replaced: under one order of all shingles, rare ones first,
+two texts as similar as that share one of their first shingles, as many as may be missing and one
+more. Each of these makes a bucket, and a pair of its members is compared if the shingles from there
+on suffice. This holds for sets and for labelled shingles, so it loses no pair; copies with so many
+edits that all their first shingles are their own meet no other.
 
 Null texts are empty, and all texts without a word that are equal are copies. A document's class
 is the smallest id in its component (null if all are null).
@@ -27,7 +31,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, text_of
@@ -35,6 +39,8 @@ from .common import Workspace, text_of
 SHINGLE, SIMILAR = 5, 0.8
 SKETCHES, SMALLEST = 32, 4
 BANDS, ROWS = 32, 4
+#: Texts of a bucket from which on first shingles take its place, and counters of how often shingles occur in those texts.
+LARGE, COUNTERS = 64, 1 << 20
 #: Words whose hashes a worker remembers, and hashes that it holds at once.
 REMEMBERED, AT_ONCE = 400_000, 1 << 20
 _SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, SKETCHES, np.uint64) | np.uint64(1)
@@ -62,6 +68,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
 def _rolled(w: list[str]) -> np.ndarray:
     if not w:
         return np.empty(0, np.uint64)
+    if len(_hashes) > REMEMBERED:
+        _hashes.clear()
     hashes = np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w))
     k = min(SHINGLE, len(w))
     n = len(w) - k + 1
@@ -136,6 +144,14 @@ def _parts(text: str) -> tuple[list[str], Counter, set[tuple]]:
     return w, Counter(w), set(zip(*[w[i:] for i in range(k)], strict=False))
 
 
+@lru_cache(32)
+def _shingles(text: str) -> tuple[list[tuple], Counter]:
+    w = words(text)
+    k = min(SHINGLE, len(w))
+    s = list(zip(*[w[i:] for i in range(k)], strict=False))
+    return s, Counter(s)
+
+
 def banded_lcs(a: list, b: list, band: int) -> int:
     """Longest common subsequence over matches at most ``band`` off the diagonal, a row of bits for each item of b."""
     begin, stop = 0, min(len(a), len(b))
@@ -165,6 +181,7 @@ def similarity(x: str, y: str, least: float = SIMILAR) -> float:
     """Aligned share of the longer text's words; of pairs that cannot reach ``least``, an upper bound below it.
 
     Texts whose shingle sets are similar although their order differs get the sets' Jaccard similarity.
+    Looser than ``shingle_similarity``, which decides the links.
     """
     (a, in_a, set_a), (b, in_b, set_b) = _parts(x), _parts(y)
     if not a or not b:
@@ -179,6 +196,33 @@ def similarity(x: str, y: str, least: float = SIMILAR) -> float:
     return aligned
 
 
+def shingle_similarity(x: str, y: str, least: float = SIMILAR) -> float:
+    """Jaccard similarity of the shingle sets or, if that is below ``least``, the aligned share of all shingles of both where it is more."""
+    (a, in_a), (b, in_b) = _shingles(x), _shingles(y)
+    if not a or not b:
+        return float(not a and not b and x == y)
+    common = len(in_a.keys() & in_b.keys())
+    found = common / (len(in_a) + len(in_b) - common)
+    if found < least and (len(a) > len(in_a) or len(b) > len(in_b)):  # else no more can be aligned
+        common = sum((in_a & in_b).values())
+        if common / (len(a) + len(b) - common) >= least:
+            band = int((1 - least) / (1 + least) * (len(a) + len(b))) + 1  # indels that `least` leaves room for
+            common = banded_lcs(a, b, band)
+            found = max(found, common / (len(a) + len(b) - common))
+    return found
+
+
+def counters(h: np.ndarray) -> np.ndarray:
+    return (h % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def first_shingles(h: np.ndarray, often: np.ndarray, least: float) -> np.ndarray:
+    """Of a set of hashes those that cannot all be missing in a set that is ``least`` similar, rare ones first."""
+    n = len(h)
+    order = np.lexsort((h, often[counters(h)]))
+    return h[order[: n - int(np.ceil(least * n - 1e-9)) + 1]]
+
+
 def components(edges: DataFrame, work: Workspace) -> DataFrame:
     """Nodes of edges (a, b) and ``component``, the smallest node that they reach: labels spread and jump until none changes.
 
@@ -197,6 +241,38 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
             return moved.select("node", "component")
 
 
+def by_first_shingles(texts: DataFrame, least: float) -> DataFrame:
+    """Members (key, node, pos, total) of a bucket for each first shingle of the texts' sets and labelled shingles."""
+    spark, slots = texts.sparkSession, COUNTERS
+
+    def counted(batches):
+        often = np.zeros(slots, np.int64)
+        for batch in batches:
+            for t in batch["text"]:
+                np.add.at(often, counters(distinct(words(t))), 1)
+        at = np.flatnonzero(often)
+        yield pd.DataFrame({"slot": at, "n": often[at]})
+
+    # any order does for all texts alike, so shingles may share a counter
+    found = texts.select("text").mapInPandas(counted, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(slots, np.int64)
+    often[found["slot"].to_numpy()] = found["n"].to_numpy()
+    shared = spark.sparkContext.broadcast(often)
+
+    @F.pandas_udf("array<struct<key: bigint, pos: int, total: int>>")
+    def firsts(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            w, both = words(t), []
+            for family, h in enumerate((distinct(w), kmers(w))):
+                key = _mix(first_shingles(h, shared.value, least) + np.uint64(family)).view(np.int64)
+                both += [{"key": k, "pos": i, "total": len(h)} for i, k in enumerate(key.tolist())]
+            out.append(both)
+        return pd.Series(out)
+
+    return texts.select("node", F.explode(firsts.asNondeterministic()("text")).alias("f")).select("f.key", "node", "f.pos", "f.total")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", least: float = SIMILAR) -> DataFrame:
     """Rows id, node (binary digest of the text), component and class_id of all documents; component is null for texts like no other."""
     spark = docs.sparkSession
@@ -206,35 +282,49 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", lea
     def sketched(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
-            if len(_hashes) > REMEMBERED:
-                _hashes.clear()
             w = words(t)
             s = distinct(w)
-            out.append((np.concatenate((sketches(kmers(w)), bands(s))), len(w), len(s)))
+            h = kmers(w)
+            out.append((np.concatenate((sketches(h), bands(s))), len(h), len(s)))
         return pd.DataFrame(out, columns=["keys", "n", "kinds"])
 
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similarity(x, y, least) >= least for x, y in zip(a, b, strict=True)], dtype=bool)
+        return pd.Series([shingle_similarity(x, y, least) >= least for x, y in zip(a, b, strict=True)], dtype=bool)
 
     keyed = docs.select(F.col(id).alias("id"), F.unhex(F.md5(text_of(text))).alias("node"), text_of(text).alias("text"))
     rows = work.table(keyed.select("id", "node", sketched.asNondeterministic()("text").alias("s")))
     nodes = work.table(rows.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("s").alias("s")))
 
-    # buckets of several distinct texts, and the smallest node of each
-    members = nodes.select("node", F.explode("s.keys").alias("key"))
-    leaders = members.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    buckets = work.table(members.join(leaders, "key"))
-    used = buckets.select("node").distinct()
-    sizes = nodes.join(used, "node", "left_semi").select("node", "id", F.col("s.n").alias("n"), F.col("s.kinds").alias("kinds"))
-    sizes = work.table(sizes)
+    # what only the buckets need goes early, it is most of the disk
+    ids = work.table(rows.select("id", "node"))
+    own = work.table(nodes.select("node", "id", "copies", F.col("s.n").alias("n"), F.col("s.kinds").alias("kinds")))
+
+    def topped(members: DataFrame) -> DataFrame:
+        """``members`` (key, node, pos, total) of keys with several, and the first of each and the size."""
+        top = members.groupBy("key").agg(F.min(F.struct("pos", "node", "total")).alias("top"), F.count("*").alias("size")).where("size > 1")
+        return members.join(top, "key")
+
+    # buckets of several distinct texts
+    whole = work.table(topped(nodes.select(F.explode("s.keys").alias("key"), "node", F.lit(0).alias("pos"), F.lit(0).alias("total"))))
+    work.drop(rows, nodes)
+    used = whole.select("node").distinct()
+    sizes = work.table(own.join(used, "node", "left_semi").select("node", "id", "n", "kinds"))
     held = keyed.join(sizes.select(F.col("node").alias("_n"), F.col("id").alias("_i")), (F.col("node") == F.col("_n")) & F.col("id").eqNullSafe(F.col("_i")))
     texts = work.table(held.select("node", "text").dropDuplicates(["node"]))
 
+    buckets = whole.where(F.col("size") <= LARGE)
+    hot = whole.where(F.col("size") > LARGE).select("node").distinct()
+    if not hot.isEmpty():
+        hot = work.table(texts.join(hot, "node", "left_semi"))
+        buckets = buckets.unionByName(topped(by_first_shingles(hot, least)))
+        buckets = work.table(buckets)
+        work.drop(whole, hot)
+
     fits = lambda x, y: 10 * F.least(x, y) >= F.lit(int(10 * least)) * F.greatest(x, y)
 
     def possible(pairs: DataFrame) -> DataFrame:
-        """Pairs whose numbers of words or of distinct shingles leave the similarity possible."""
+        """Pairs whose numbers of shingles, in all or distinct, leave the similarity possible."""
         for side in ("a", "b"):
             pairs = pairs.join(sizes.select(F.col("node").alias(f"_{side}"), F.col("n").alias(f"n{side}"), F.col("kinds").alias(f"k{side}")), F.col(side) == F.col(f"_{side}"))
         return pairs.where(fits(F.col("na"), F.col("nb")) | fits(F.col("ka"), F.col("kb"))).select("a", "b", "ca", "cb")
@@ -276,22 +366,31 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", lea
             labels = merged(components(new.select(F.col("ca").alias("a"), F.col("cb").alias("b")), work))
         return True
 
-    stars = work.table(buckets.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-    test(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    test(stars)
+    def enough(pos: Column, total: Column, pos_b: Column, total_b: Column) -> Column:
+        """Whether the shingles from a common one on can make two texts similar; if none before is common, they are all there are."""
+        return (1 + least) * F.least(total - pos, total_b - pos_b) + 1e-6 >= least * (total + total_b)
+
+    star = buckets.where((F.col("node") != F.col("top.node")) & enough(F.col("pos"), F.col("total"), F.col("top.pos"), F.col("top.total")))
+    stars = work.table(star.select(F.col("top.node").alias("a"), F.col("node").alias("b"), "pos").groupBy("a", "b").agg(F.min("pos").alias("pos")))  # the bucket of the first common shingle
+    test(stars.groupBy("b").agg(F.min_by("a", F.struct("pos", "a")).alias("a")).select("a", "b"))
+    test(stars.select("a", "b"))
     first, stop = 1, 8
     while True:  # leaders first..stop-1 of each bucket that still has several components
         inside = label(buckets, "node", "component")
         mixed = inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
         mixed = mixed.where((F.col("lo") != F.col("hi")) & (F.col("n") > first + 1)).select("key")
-        left = work.table(inside.join(mixed, "key", "left_semi").select("key", "node", "component", (F.row_number().over(Window.partitionBy("key").orderBy("node")) - 1).alias("rank")))
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("pos", "node")) - 1
+        left = work.table(inside.join(mixed, "key", "left_semi").select("key", "node", "component", "pos", "total", rank.alias("rank")))
         if left.isEmpty():
             break
-        lead = left.where((F.col("rank") >= first) & (F.col("rank") < stop)).select(F.col("key").alias("_k"), F.col("node").alias("a"), F.col("component").alias("_c"), F.col("rank").alias("_r"))
-        test(left.join(lead, (F.col("key") == F.col("_k")) & (F.col("rank") > F.col("_r")) & (F.col("component") != F.col("_c"))).select("a", F.col("node").alias("b")))
+        lead = left.where((F.col("rank") >= first) & (F.col("rank") < stop)).select(
+            F.col("key").alias("_k"), F.col("node").alias("a"), F.col("component").alias("_c"), F.col("rank").alias("_r"), F.col("pos").alias("_p"), F.col("total").alias("_t"))
+        other = (F.col("key") == F.col("_k")) & (F.col("rank") > F.col("_r")) & (F.col("component") != F.col("_c"))
+        test(left.join(lead, other & enough(F.col("pos"), F.col("total"), F.col("_p"), F.col("_t"))).select("a", F.col("node").alias("b")))
+        work.drop(left)
         first, stop = stop, 8 * stop
 
-    own = nodes.select("node", "id", "copies")
+    own = own.select("node", "id", "copies")
     if labels is None:
         known = own.withColumn("component", F.lit(None).cast("binary"))
     else:
@@ -300,7 +399,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", lea
     classes = known.where("component is not null").groupBy(F.col("component").alias("_c")).agg(F.min("id").alias("_class"))
     named = known.join(classes, F.col("component") == F.col("_c"), "left").select(F.col("node").alias("_node"), "component", F.coalesce("_class", F.col("id")).alias("class_id"))
     named = work.table(named)
-    return rows.join(named, F.col("node") == F.col("_node")).select("id", "node", "component", "class_id")
+    return ids.join(named, F.col("node") == F.col("_node")).select("id", "node", "component", "class_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", id: str = "doc_id", least: float = SIMILAR) -> DataFrame:
