@@ -57,6 +57,16 @@ def test_quality_fences_follow_their_group(spark):
     assert sorted(r.doc_id for r in quality.filter_quality(docs).collect()) == sorted(set(got.index) - {5000})
 
 
+def test_quality_fences_have_no_top(spark):
+    """Long words are usual in the group; much longer ones are outliers."""
+    text = lambda i, n: " ".join(f"{i}x{j}".ljust(n, "y") for j in range(40))
+    rows = [(i, text(i, 30 + i % 3), "zz", "long") for i in range(300)] + [(5000, text(5000, 300), "zz", "long")]
+    got = quality.quality(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).toPandas().set_index("doc_id")
+    assert got.kept.drop(5000).all() and not got.kept[5000]
+    m = spark.range(1).selectExpr("named_struct('n_symbols', 32767L, 'n_words', 1000L, 'n_marks', 32769L, 'n_capitals', 0L, 'word_chars', 1000017L, 'n_dup_lines', 0L, 'n_lines', 0L, 'n_repeat_words', 0L) m")
+    assert m.select(quality.buckets("m").alias("b")).first().b == [32767, 32768, 0, 1000000, 0, 0]
+
+
 def test_quality_odd_rows(odd_docs, no_docs):
     out = quality.quality(odd_docs)
     assert out.count() == odd_docs.count() and {"n", "k", "length"} <= set(out.columns)

@@ -2,7 +2,8 @@
 
 Every metric is a count ratio in thousandths. A group's metrics go into quantile sketches of
 counts per bucket: exactly mergeable by addition, the same in whatever order partitions are
-merged, at most ``TOP`` buckets, and off by less than one bucket. A group's fence is its upper
+merged, and off by less than one bucket. A bucket is a number's first ``BITS`` bits: numbers of
+no more are buckets of their own, and larger ones, without a top, are off by 1 in 16,384 at most. A group's fence is its upper
 quartile plus ``SPREAD`` times the interquartile range, with a least distance; groups of fewer
 than ``LEAST`` documents use their language's sketch, and languages of fewer all documents'.
 Documents above a fence of theirs are rejected by the joined filter.
@@ -20,8 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, fresh, text_of
 
-#: Largest bucket: metrics above it count as it.
-TOP, LEAST, SPREAD = 20_000, 200, 4
+BITS, LEAST, SPREAD = 15, 200, 4
 #: Metric (thousandths) to the least distance between the upper quartile and the fence.
 METRICS = {"symbols": 100, "marks": 400, "capitals": 120, "chars": 2_500, "dup_lines": 300, "repeats": 150}
 GROUP, WINDOW, LEAST_WORDS, MOST_REPEATS = ("lang", "source"), 5, 10, 20
@@ -96,8 +96,11 @@ def base_failed(m: str) -> Column:
 
 
 def buckets(m: str) -> Column:
-    """Array of the metrics' buckets, in the order of METRICS; of documents with words only."""
-    ratio = lambda a, b: F.least(F.expr(f"{m}.{a} * 1000 div greatest({m}.{b}, 1)"), F.lit(TOP)).cast("int")
+    """Array of the metrics' buckets (their least values), in the order of METRICS; of documents with words only."""
+    def ratio(a: str, b: str) -> Column:
+        x = f"({m}.{a} * 1000 div greatest({m}.{b}, 1))"
+        return F.expr(f"{x} - {x} % shiftleft(1L, greatest(length(bin({x})) - {BITS}, 0))")
+
     by = {
         "symbols": ratio("n_symbols", "n_words"), "marks": ratio("n_marks", "n_words"), "capitals": ratio("n_capitals", "word_chars"),
         "chars": ratio("word_chars", "n_words"), "dup_lines": ratio("n_dup_lines", "n_lines"), "repeats": ratio("n_repeat_words", "n_words"),
