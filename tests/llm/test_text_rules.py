@@ -67,6 +67,20 @@ def test_quality_fences_have_no_top(spark):
     assert m.select(quality.buckets("m").alias("b")).first().b == [32767, 32768, 0, 1000000, 0, 0]
 
 
+def test_quality_fences_do_not_switch_by_size(spark):
+    """The same outlier in groups of the same habits, just under and just over 200 documents, in a language with other habits."""
+    def text(i, marks):
+        return " ".join(f"word{i}x{j}" + ("!" * (2 if j < marks else 0)) for j in range(40))
+
+    sizes = {"small": 150, "under": 198, "over": 202}
+    rows = [(1000 * k + i, text(i, 0), "en", source) for k, (source, n) in enumerate(sizes.items()) for i in range(n)]
+    rows += [(10_000 + i, text(i, 30), "en", "loud") for i in range(550)]
+    rows += [(5000 + k, text(k, 40), "en", source) for k, source in enumerate(sizes)]
+    got = quality.quality(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).toPandas().set_index("doc_id")
+    outliers = [5000 + k for k in range(len(sizes))]
+    assert got.kept.drop(outliers).all() and not got.kept[outliers].any()
+
+
 def test_quality_odd_rows(odd_docs, no_docs):
     out = quality.quality(odd_docs)
     assert out.count() == odd_docs.count() and {"n", "k", "length"} <= set(out.columns)

@@ -4,8 +4,9 @@ Every metric is a count ratio in thousandths. A group's metrics go into quantile
 counts per bucket: exactly mergeable by addition, the same in whatever order partitions are
 merged, and off by less than one bucket. A bucket is a number's first ``BITS`` bits: numbers of
 no more are buckets of their own, and larger ones, without a top, are off by 1 in 16,384 at most. A group's fence is its upper
-quartile plus ``SPREAD`` times the interquartile range, with a least distance; groups of fewer
-than ``LEAST`` documents use their language's sketch, and languages of fewer all documents'.
+quartile plus ``SPREAD`` times the interquartile range, with a least distance. A language's
+quartiles are blended with those of all documents, and a language and source's with its language's:
+of n documents, own quartiles weigh n / (n + ``PRIOR``), so no size of a group switches its fence.
 Documents above a fence of theirs are rejected by the joined filter.
 
 Null and empty texts have no words and fail the base rules. Null languages and sources are
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, fresh, text_of
 
-BITS, LEAST, SPREAD = 15, 200, 4
+BITS, SPREAD = 15, 4
+#: Documents that a group's parent counts as in its quartiles.
+PRIOR = 50
 #: Metric (thousandths) to the least distance between the upper quartile and the fence.
 METRICS = {"symbols": 100, "marks": 400, "capitals": 120, "chars": 2_500, "dup_lines": 300, "repeats": 150}
 GROUP, WINDOW, LEAST_WORDS, MOST_REPEATS = ("lang", "source"), 5, 10, 20
@@ -130,10 +133,13 @@ def fences(measured: DataFrame, m: str, group: tuple[str, ...] = GROUP) -> DataF
         for k in keys[:n]:
             on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
         out = out.join(up, on).drop("_m", *[f"_{k}" for k in keys[:n]])
-    chosen = F.coalesce(*[F.when(F.col(f"q{n}.n") >= LEAST, F.col(f"q{n}")) for n in range(len(keys), -1, -1)], F.col("q0"))
+    blended = {end: F.col(f"q0.{end}").cast("double") for end in ("lo", "hi")}
+    for n in range(1, len(keys) + 1):
+        q = F.col(f"q{n}")
+        blended = {end: (q["n"] * q[end] + PRIOR * up) / (q["n"] + PRIOR) for end, up in blended.items()}
     margin = F.element_at(F.array(*[F.lit(x) for x in METRICS.values()]), F.col("metric") + 1)
     limit = F.col("q.hi") + F.greatest(SPREAD * (F.col("q.hi") - F.col("q.lo")), margin)
-    per = out.withColumn("q", chosen).select(*keys, "metric", limit.alias("limit"))
+    per = out.withColumn("q", F.struct(*[x.alias(end) for end, x in blended.items()])).select(*keys, "metric", limit.alias("limit"))
     return per.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("metric", "limit"))), lambda x: x["limit"]).alias("fence"))
 
 
