@@ -176,6 +176,25 @@ def test_tokenizer_equals_the_library(documents):
     assert got == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_tokenizer_on_random_texts(monkeypatch):
+    """Odd letters, and a memory so small that its generations change all the time."""
+    monkeypatch.setattr(packing, "REMEMBERED", 3)
+    own, rng = packing.WordTokenizer(packing.default_tokenizer()), random.Random(3)
+    assert own.simple
+    letters = "abzAZ019éÉßñÇĐİıſŉǅ'’\"<|>.,;-_#  ́²½中Ωςσ\x1c\x0b\t\n ×÷ªº\x85\ufeff\xad𝐀😀한"
+    for _ in range(4000):
+        t = "".join(rng.choice(letters) if rng.random() < 0.8 else rng.choice(["'s ", "'RE", "<|endoftext|>", "İstanbul "]) for _ in range(rng.randrange(0, 25)))
+        want = own.tokenizer.encode(t, add_special_tokens=False).ids
+        assert own.encode(t) == np.array(want, "<u4").tobytes(), t
+    assert len(own.chunks) <= 3 and len(own.chunks.old) <= 3
+
+
+def test_packing_clashing_names(spark):
+    items = spark.createDataFrame([(i, 5, i, i, i) for i in range(9)], "doc_id bigint, length bigint, _l int, _s int, _rank int")
+    out = packing.pack(items, ["doc_id"], capacity=10)
+    assert out.columns == [*items.columns, "sequence_id", "offset"] and out.select("sequence_id").distinct().count() == 5
+
+
 def test_packing_query(spark, sf_dir, documents):
     from tokenizers import Tokenizer
 

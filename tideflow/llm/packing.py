@@ -14,6 +14,8 @@ each on its own.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -25,62 +27,89 @@ from pyspark.sql import functions as F
 from .common import Workspace, fresh, text_of
 
 CAPACITY, END_ID = 4096, 1
-#: Chunks between ASCII white space whose ids a worker remembers, and pieces of a length that one task ranks.
-REMEMBERED, RANKED = 500_000, 1 << 20
-
-_tokenizers: dict[str, WordTokenizer] = {}
+#: Chunks, and words, whose ids a worker remembers in a generation, and pieces of a length that one task ranks.
+REMEMBERED, RANKED = 100_000, 1 << 20
+
+#: The normalizer and the pre-tokenizer that ``WordTokenizer`` follows.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+#: Chunks of visible ASCII and Latin letters that are letters in every version of Unicode, in normal form, with one-letter lower case.
+_PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]+")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xc0-\xd6\xd8-\xf6\xf8-\u017f]+|[0-9]|[^a-z\xc0-\xd6\xd8-\xf6\xf8-\u017f0-9]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level letters: visible Latin-1 bytes stand for themselves, the others take the code points from 256 on in order."""
+    out, more = {}, 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174:
+            out[b] = chr(b)
+        else:
+            out[b] = chr(more)
+            more += 1
+    return out
+
+
+class Memory(dict):
+    """Results of a function by key. Of two generations with at most ``size`` entries each, the older one goes when
+    the younger is full; what is still in use moves on, so common keys are not worked out again."""
+
+    def __init__(self, make, size: int):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class WordTokenizer:
     """Ids of a tokenizer whose tokens never span white space, chunk by chunk with a memory.
 
-    Ids are bytes (little-endian unsigned 32-bit). ASCII white space separates chunks for the
-    tokenizer as well, so a text's ids are those of its chunks in a row.
+    Ids are bytes (little-endian unsigned 32-bit). ASCII white space separates chunks for the tokenizer as well, so a
+    text's ids are those of its chunks in a row. If its normalizer and pre-tokenizer are the ones above, plain
+    chunks are cut into pre-tokens here, and only pre-tokens not met before go through the merges of its model.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        stems: dict[bytes, tuple[bytes, bytes]] = {}
-        ask: set[bytes] = set()
-        for c in chunks:
-            stem = c.rstrip(b".,;:!?")
-            # ASCII letters and bytes of letters, then plain marks: two pre-tokens of their own
-            if stem and len(stem) < len(c) and stem.isalpha():
-                stems[c] = stem, c[len(stem):]
-                ask.update(x for x in stems[c] if x not in known)
-            else:
-                ask.add(c)
-        ordered = list(ask)
-        for c, e in zip(ordered, self.tokenizer.encode_batch_fast([c.decode() for c in ordered], add_special_tokens=False), strict=True):
-            known[c] = np.array(e.ids, "<u4").tobytes()
-        for c, (a, b) in stems.items():
-            known[c] = known[a] + known[b]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, config = self.tokenizer.model, json.loads(self.tokenizer.to_str())
+        self.simple = config["normalizer"] == NORMALIZER and config["pre_tokenizer"] == PRE_TOKENIZER and config["model"]["type"] == "BPE"
+        self.letters = _byte_letters()
+        self.chunks, self.words = Memory(self._chunk, REMEMBERED), Memory(self._word, REMEMBERED)
+
+    def _word(self, word: str) -> bytes:
+        mapped = word.encode().decode("latin-1").translate(self.letters)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped)])
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        if not self.simple or "<|" in text or not _PLAIN.fullmatch(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.words.__getitem__, _PARTS.findall(text.lower())))
+
+    def encode(self, text: str) -> bytes:
+        b = text.encode()
+        # ASCII lower case is what the tokenizer does as well, after it has looked for special tokens
+        if self.simple and b"<|" not in b:
+            b = b.lower()
+        return b"".join(map(self.chunks.__getitem__, b.split()))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        lists = []
-        for t in texts:
-            b = t.encode()
-            # ASCII lower case is what the tokenizer does as well, after it has looked for special tokens
-            lists.append((b if b"<|" in b else b.lower()).split())
-        out, known = [], self.known
-        missing = set().union(*lists) - known.keys() if lists else set()
-        if missing:
-            self._learn(missing)
-            known = self.known
-        for chunks in lists:
-            try:
-                out.append(b"".join(map(known.__getitem__, chunks)))
-            except KeyError:  # the memory was cleared before this batch
-                self._learn(set(chunks) - known.keys())
-                out.append(b"".join(map(known.__getitem__, chunks)))
-        return out
+        return [self.encode(t) for t in texts]
+
+
+_tokenizers: dict[str, WordTokenizer] = {}
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -104,16 +133,13 @@ def pieces(docs: DataFrame, text: str = "text", path: str | None = None, capacit
     @F.pandas_udf(schema)
     def cut(texts: pd.Series) -> pd.Series:
         out, own = [], tokenizer(path)
-        todo = texts.fillna("").tolist()
-        for at in range(0, len(todo), 500):
-            for ids in own.encode_batch(todo[at : at + 500]):
-                ids += end
-                rows = []
-                for i in range(0, len(ids), step):
-                    part = ids[i : i + step]
-                    row = {"piece": i // step, "start": i // 4, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)}
-                    rows.append(row | {"ids": np.frombuffer(part, "<u4").astype(np.int64)} if with_ids else row)
-                out.append(rows)
+        for text in texts.fillna(""):
+            ids, rows = own.encode(text) + end, []
+            for i in range(0, len(ids), step):
+                part = ids[i : i + step]
+                row = {"piece": i // step, "start": i // 4, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)}
+                rows.append(row | {"ids": np.frombuffer(part, "<u4").astype(np.int64)} if with_ids else row)
+            out.append(rows)
         return pd.Series(out)
 
     made = ["piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
@@ -201,7 +227,7 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int = CAPACITY) -> tup
     return out, sequences
 
 
-def pack(items: DataFrame, order_by: list[str], length: str = "length", capacity: int = CAPACITY, work: Workspace | None = None) -> DataFrame:
+def pack(items: DataFrame, order_by: list[str], length: str = "length", capacity: int = CAPACITY) -> DataFrame:
     """``items`` and sequence_id, offset.
 
     Ranks inside a length come from salted windows, so a length that most pieces have is spread
@@ -211,13 +237,13 @@ def pack(items: DataFrame, order_by: list[str], length: str = "length", capacity
     counts = {int(r[0]): int(r[1]) for r in items.groupBy(length).count().collect()}  # at most `capacity` rows
     placements, _ = best_fit_decreasing(counts, capacity)
     salts = max(16, sum(counts.values()) // RANKED)
-    salt, rank, before = fresh(items, "_salt", "_rank", "_before")
+    salt, rank, before, own_length, own_salt = fresh(items, "_salt", "_rank", "_before", "_l", "_s")
     salted = items.withColumn(salt, F.pmod(F.xxhash64(*order_by), F.lit(salts)))
     sizes = salted.groupBy(length, salt).count()
     ahead = Window.partitionBy(length).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(F.col(length).alias("_l"), F.col(salt).alias("_s"), F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias(before))
+    sizes = sizes.select(F.col(length).alias(own_length), F.col(salt).alias(own_salt), F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias(before))
     ranked = salted.withColumn(rank, F.row_number().over(Window.partitionBy(length, salt).orderBy(*order_by)).cast("bigint") - 1)
-    ranked = ranked.join(sizes, (F.col(length) == F.col("_l")) & (F.col(salt) == F.col("_s")))
+    ranked = ranked.join(sizes, (F.col(length) == F.col(own_length)) & (F.col(salt) == F.col(own_salt)))
     table = spark.sparkContext.broadcast(np.array([(p.length, p.rank, p.sequence, p.each, p.offset) for p in sorted(placements, key=lambda p: (p.length, p.rank))], np.int64).reshape(-1, 5))
 
     @F.pandas_udf("sequence_id bigint, offset bigint")
@@ -236,4 +262,4 @@ def pack_documents(docs: DataFrame, text: str = "text", id: str = "doc_id", path
     """A row per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
     work = Workspace(docs.sparkSession, "pack")
     cut = work.table(pieces(docs.select(id, text), text, path, capacity))
-    return pack(cut, [id, "piece", "start", "length", "ids_crc32"], capacity=capacity, work=work)
+    return pack(cut, [id, "piece", "start", "length", "ids_crc32"], capacity=capacity)
