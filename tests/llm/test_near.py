@@ -84,10 +84,10 @@ def edited_copies(rng):
     return [" ".join(d) for d in docs]
 
 
-@pytest.mark.parametrize("large", [1, 8, 64])
-def test_edited_copies_link_by_shingles(spark, monkeypatch, large):
-    """The classes of the rule itself, also where first shingles take the place of large buckets."""
-    monkeypatch.setattr(near_dedup, "LARGE", large)
+@pytest.mark.parametrize("crowded", [0, 2, near_dedup.CROWDED])
+def test_edited_copies_link_by_shingles(spark, monkeypatch, crowded):
+    """The classes of the rule itself, with and without leaders in the prefix buckets."""
+    monkeypatch.setattr(near_dedup, "CROWDED", crowded)
     texts = edited_copies(random.Random(12))
     pairs = itertools.combinations(range(len(texts)), 2)
     want = partition(len(texts), [(i, j) for i, j in pairs if near_dedup.shingle_similarity(texts[i], texts[j]) >= 0.8])
@@ -100,8 +100,11 @@ def test_sketches_depend_on_order_and_labels():
     a = [f"w{i}" for i in range(40)]
     one, again = near_dedup.sketches(near_dedup.kmers(a)), near_dedup.sketches(near_dedup.kmers(list(a)))
     assert (one == again).all() and len(one) == near_dedup.SKETCHES
-    turned = near_dedup.sketches(near_dedup.kmers(a[20:] + a[:20]))
-    assert 0 < (one == turned).sum() < near_dedup.SKETCHES
+    agree = []
+    for t in range(20):  # some sketches lie in one half of the text and do not see that the halves change places
+        w = [f"w{t}x{i}" for i in range(40)]
+        agree.append((near_dedup.sketches(near_dedup.kmers(w)) == near_dedup.sketches(near_dedup.kmers(w[20:] + w[:20]))).mean())
+    assert 0 < np.mean(agree) < 0.3
     assert len(set(near_dedup.kmers(["x"] * 30).tolist())) == 26
     assert len(near_dedup.sketches(near_dedup.kmers([]))) == 0
     long = [f"v{i % 5000}" for i in range(70000)]

@@ -44,12 +44,21 @@ class Workspace:
         out._workspace_path = path
         return out
 
+    def only(self, df: DataFrame) -> DataFrame:
+        """``df`` as the one table that is left of all."""
+        out = self.table(df)
+        for n in range(1, self.n):
+            self._delete(f"{self.root}/{n}")
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
-        jvm, sc = self.spark._jvm, self.spark.sparkContext
         for path in (getattr(t, "_workspace_path", None) for t in tables):
             if path:
-                at = jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+                self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def text_of(column: str = "text") -> Column:
@@ -72,9 +81,39 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def same(a: DataFrame, b: DataFrame, *columns: str) -> Column:
-    """Null-safe equality on columns of the same names."""
-    out = F.lit(True)
-    for c in columns:
-        out = out & a[c].eqNullSafe(b[c])
+#: Bits of a bitmap row, and powers of two of bits that filters have at least and at most: 32 KB to 128 MB.
+ROW_BITS, LEAST_BITS, MOST_BITS = 15, 18, 30
+
+
+def bitmaps(hashes: DataFrame, work: Workspace) -> DataFrame:
+    """A filter of the values of ``h``: rows (_bucket, _bits, _filter) of bitmaps, 16 bits a value as far as ``MOST_BITS`` goes.
+
+    It only spares shuffling rows that join nothing: a full one lets all through. ``hashes`` is read once.
+    """
+    held = work.table(hashes.select("h"))
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * held.count()).bit_length()))
+    at = F.pmod(F.col("h"), F.lit(1 << bits))
+    placed = held.select(F.shiftright(at, ROW_BITS).alias("_bucket"), at.bitwiseAND((1 << ROW_BITS) - 1).alias("_bit"))
+    # dealt by bitmap first, so that no task holds partial copies of all of them
+    out = work.table(placed.repartition("_bucket").groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits")))
+    work.drop(held)
+    out._filter_bits = bits
     return out
+
+
+def in_bitmaps(df: DataFrame, filter: DataFrame, h: str, flag: str) -> DataFrame:
+    """``df`` and ``flag``: whether column ``h`` is in the filter. True for all its values, and for a share of others that grows with its load."""
+    bucket, bits, own = fresh(df, "_bucket", "_bits", "_own")
+    size = 1 << filter._filter_bits
+    at = F.pmod(F.col(h), F.lit(size))
+    bit = at.bitwiseAND((1 << ROW_BITS) - 1)
+    rows = filter.select(F.col("_bucket").alias(bucket), F.col("_bits").alias(bits))
+    near = df.withColumn(own, F.shiftright(at, ROW_BITS)).join(F.broadcast(rows), F.col(own) == F.col(bucket), "left")
+    byte = F.conv(F.hex(F.substring(bits, F.shiftright(bit, 3).cast("int") + 1, 1)), 16, 10).cast("int")
+    return near.withColumn(flag, F.coalesce(F.getbit(byte, bit.bitwiseAND(7).cast("int")) == 1, F.lit(False))).drop(bucket, bits, own)
+
+
+def maybe(df: DataFrame, filter: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``h`` is in the filter."""
+    (flag,) = fresh(df, "_in")
+    return in_bitmaps(df, filter, "h", flag).where(F.col(flag)).drop(flag)

@@ -4,20 +4,23 @@ A text's k-mers are its shingles of ``SHINGLE`` words, each labelled with how of
 before. A sketch takes the ``SMALLEST`` labelled k-mers with the least hashes under a function of its
 own and keeps them in text order, so it is sensitive to order as the edit distance is. A band is ``ROWS``
 minima over the set of shingles, whatever their order and number. Texts with a sketch or a band in
-common are candidates; of pairs whose shingle sets are ``SIMILAR`` (0.8), 5 in 10^8 have no band in common.
+common are candidates; of pairs whose shingle sets are ``SIMILAR`` (0.8), 2 in 10,000 have no band in common,
+and of those that also keep their order 5 in 10^8 have nothing in common.
 A candidate pair is linked if the Jaccard similarity of the shingle sets is at least ``SIMILAR``, or
 if the shingles aligned inside the band that this leaves room for are that share of all of both.
 
-Equal texts are one node. In each bucket the members are compared with one leader first;
-links merge nodes to components, and only pairs of different components are compared further,
-with more members of the bucket as leaders in every round, until none is left. So copies of one
-text cost a comparison each, and no pair in a bucket that can be similar is skipped.
+Equal texts are one node, so copies cost nothing more. Candidates are compared in two steps, each with
+rows in proportion to the members of the buckets:
 
-Buckets of more than ``LARGE`` texts are replaced: under one order of all shingles, rare ones first,
-two texts as similar as that share one of their first shingles, as many as may be missing and one
-more. Each of these makes a bucket, and a pair of its members is compared if the shingles from there
-on suffice. This holds for sets and for labelled shingles, so it loses no pair; copies with so many
-edits that all their first shingles are their own meet no other.
+1. Every node is compared with one leader: of the bucket leaders, the nodes that are in the most and largest
+   buckets, the one that it has most buckets in common with.
+2. Nodes in buckets that still hold several components get prefix buckets: under one order of all shingles,
+   rare ones first, two texts as similar as ``SIMILAR`` share one of their first shingles, as many as may
+   be missing and one more. From a common shingle on, what is left of both texts bounds their similarity.
+   Members that, by this bound, fit no size that another component has in the bucket are left out; what
+   remains is compared, all but pairs inside a component. This loses no pair, neither of sets nor of
+   labelled shingles, and takes the place of comparing all members of a bucket. Where many pairs remain,
+   leaders are compared first as in step 1, until that no longer helps.
 
 Null texts are empty, and all texts without a word that are equal are copies. A document's class
 is the smallest id in its component (null if all are null).
@@ -30,111 +33,85 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, text_of
+from .common import Workspace, bitmaps, fresh, in_bitmaps, maybe, text_of
+from .shingles import Shingled, mix, shingled, words
 
 SHINGLE, SIMILAR = 5, 0.8
-SKETCHES, SMALLEST = 32, 4
-BANDS, ROWS = 32, 4
-#: Texts of a bucket from which on first shingles take its place, and counters of how often shingles occur in those texts.
-LARGE, COUNTERS = 64, 1 << 20
-#: Words whose hashes a worker remembers, and hashes that it holds at once.
-REMEMBERED, AT_ONCE = 400_000, 1 << 20
-_SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, SKETCHES, np.uint64) | np.uint64(1)
-_BAND_SEEDS = np.random.default_rng(20240301).integers(1, 1 << 63, BANDS * ROWS, np.uint64) | np.uint64(1)
+SKETCHES, SMALLEST = 16, 4
+BANDS, ROWS = 16, 4
+#: Counters of how often shingles occur, for the order of prefix filtering.
+COUNTERS = 1 << 20
+#: Pairs left per member of the prefix buckets from which on leaders are compared first.
+CROWDED = 16
+_SEEDS = np.random.default_rng(20240229).integers(1, 1 << 32, SKETCHES, np.uint32) | np.uint32(1)
+_BAND_SEEDS = np.random.default_rng(20240301).integers(1, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
+_FOLD, _GONE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        self[word] = out = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return out
-
-
-_hashes = _Hashes()
-
-
-def words(text: str) -> list[str]:
-    return text.lower().split()
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return h ^ (h >> np.uint64(29))
-
-
-def _rolled(w: list[str]) -> np.ndarray:
-    if not w:
-        return np.empty(0, np.uint64)
-    if len(_hashes) > REMEMBERED:
-        _hashes.clear()
-    hashes = np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w))
-    k = min(SHINGLE, len(w))
-    n = len(w) - k + 1
-    h = np.zeros(n, np.uint64)
-    for i in range(k):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n]
-    return h
+def _of(w: list[str]) -> Shingled | None:
+    return next(shingled([" ".join(w)], SHINGLE), None)
 
 
 def distinct(w: list[str]) -> np.ndarray:
     """Hashes of the set of shingles."""
-    return _mix(np.unique(_rolled(w)))
+    s = _of(w)
+    return np.empty(0, np.uint64) if s is None else s.distinct()[0]
 
 
 def kmers(w: list[str]) -> np.ndarray:
     """Hashes of the shingles, each labelled with its number of earlier occurrences."""
-    h = _rolled(w)
-    n = len(h)
-    if not n:
-        return h
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    new = np.concatenate(([True], s[1:] != s[:-1]))
-    label = np.empty(n, np.uint64)
-    label[order] = np.arange(n) - np.flatnonzero(new)[np.cumsum(new) - 1]
-    return _mix(h + label * np.uint64(0xC2B2AE3D27D4EB4F))
-
-
-def sketches(h: np.ndarray) -> np.ndarray:
-    """A key for each sketch; none for texts without words. Labelled k-mers are distinct, so least ones are unique."""
-    n = len(h)
-    if not n:
-        return np.empty(0, np.int64)
-    take, keys = min(SMALLEST, n), []
-    step = max(1, AT_ONCE // n)
-    for begin in range(0, SKETCHES, step):
-        own = h * _SEEDS[begin : begin + step, None]
-        own ^= own >> np.uint64(31)
-        own *= np.uint64(0x9E3779B97F4A7C15)
-        at = np.argpartition(own, take - 1, axis=1)[:, :take] if n > take else np.tile(np.arange(n), (len(own), 1))
-        picked = h[np.sort(at, axis=1)]
-        key = np.arange(begin, begin + len(own), dtype=np.uint64)
-        for i in range(take):
-            key = key * np.uint64(0xD6E8FEB86659FD93) + picked[:, i]
-        keys.append(key)
-    return _mix(np.concatenate(keys)).view(np.int64)
-
-
-def bands(h: np.ndarray) -> np.ndarray:
-    """A key for each band of a set of shingles; none for texts without words."""
-    n = len(h)
-    if not n:
-        return np.empty(0, np.int64)
-    least = []
-    step = max(1, AT_ONCE // n)
-    for begin in range(0, BANDS * ROWS, step):
-        own = h * _BAND_SEEDS[begin : begin + step, None]
-        own ^= own >> np.uint64(31)
-        own *= np.uint64(0x9E3779B97F4A7C15)
-        least.append(own.min(axis=1))
-    rows = np.concatenate(least).reshape(BANDS, ROWS)
-    key = np.arange(SKETCHES, SKETCHES + BANDS, dtype=np.uint64)
-    for i in range(ROWS):
-        key = key * np.uint64(0xD6E8FEB86659FD93) + rows[:, i]
-    return _mix(key).view(np.int64)
+    s = _of(w)
+    return np.empty(0, np.uint64) if s is None else s.labelled
+
+
+def _ordered(h: np.ndarray, seed: np.uint32) -> np.ndarray:
+    """The hashes under a function of their own."""
+    own = (h >> np.uint64(32)).astype(np.uint32) * seed
+    own ^= own >> np.uint32(15)
+    return own * np.uint32(0x9E3779B1)
+
+
+def sketches(h: np.ndarray, n: np.ndarray | None = None) -> np.ndarray:
+    """A row of keys for each text, whose labelled k-mers lie end to end, ``n`` of each; for a single text just its keys, none without words."""
+    if n is None:
+        return sketches(h, np.array([len(h)]))[0] if len(h) else np.empty(0, np.int64)
+    starts = np.cumsum(n) - n
+    position = (np.arange(len(h)) - np.repeat(starts, n)).astype(np.uint64)
+    out = np.empty((len(n), SKETCHES), np.uint64)
+    for i, seed in enumerate(_SEEDS):
+        own = (_ordered(h, seed).astype(np.uint64) << np.uint64(32)) | position
+        places = np.empty((len(n), SMALLEST), np.int64)
+        for j in range(SMALLEST):
+            least = np.minimum.reduceat(own, starts)
+            at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            there = least != _GONE  # else the text has fewer k-mers
+            own[(starts + at)[there]] = _GONE
+            places[:, j] = np.where(there, at, 1 << 40)
+        places.sort(axis=1)
+        key = np.full(len(n), i, np.uint64)
+        for j in range(SMALLEST):
+            there = places[:, j] < 1 << 40
+            key[there] = key[there] * _FOLD + h[(starts + places[:, j])[there]]
+        out[:, i] = key
+    return mix(out).view(np.int64)
+
+
+def bands(h: np.ndarray, n: np.ndarray | None = None) -> np.ndarray:
+    """The same for bands of sets of shingles."""
+    if n is None:
+        return bands(h, np.array([len(h)]))[0] if len(h) else np.empty(0, np.int64)
+    starts = np.cumsum(n) - n
+    out = np.empty((len(n), BANDS), np.uint64)
+    for i in range(BANDS):
+        key = np.full(len(n), SKETCHES + i, np.uint64)
+        for seed in _BAND_SEEDS[i * ROWS : (i + 1) * ROWS]:
+            key = key * _FOLD + np.minimum.reduceat(_ordered(h, seed), starts)
+        out[:, i] = key
+    return mix(out).view(np.int64)
 
 
 @lru_cache(32)
@@ -212,28 +189,18 @@ def shingle_similarity(x: str, y: str, least: float = SIMILAR) -> float:
     return found
 
 
-def counters(h: np.ndarray) -> np.ndarray:
-    return (h % np.uint64(COUNTERS)).astype(np.int64)
-
-
-def first_shingles(h: np.ndarray, often: np.ndarray, least: float) -> np.ndarray:
-    """Of a set of hashes those that cannot all be missing in a set that is ``least`` similar, rare ones first."""
-    n = len(h)
-    order = np.lexsort((h, often[counters(h)]))
-    return h[order[: n - int(np.ceil(least * n - 1e-9)) + 1]]
-
-
 def components(edges: DataFrame, work: Workspace) -> DataFrame:
     """Nodes of edges (a, b) and ``component``, the smallest node that they reach: labels spread and jump until none changes.
 
-    ``edges`` is read in every step: pass a written table.
+    ``edges`` is read in every step: pass a written table. Joins on nodes that most edges meet in are left
+    to sort-merge, whose large partitions adaptive execution splits.
     """
     both = edges.select("a", "b").union(edges.select("b", "a"))
     labels = work.table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")))
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("_a")).agg(F.min("component").alias("_near"))
+        near = both.join(labels.hint("merge"), F.col("b") == F.col("node")).groupBy(F.col("a").alias("_a")).agg(F.min("component").alias("_near"))
         spread = labels.join(near, F.col("node") == F.col("_a")).select("node", "component", F.least("component", "_near").alias("next"))
-        jump = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+        jump = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c")).hint("merge")
         moved = work.table(spread.join(jump, F.col("next") == F.col("_n")).select("node", F.least("next", "_c").alias("component"), (F.least("next", "_c") != F.col("component")).alias("moved")))
         work.drop(labels)
         labels = moved
@@ -241,15 +208,41 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
             return moved.select("node", "component")
 
 
-def by_first_shingles(texts: DataFrame, least: float) -> DataFrame:
-    """Members (key, node, pos, total) of a bucket for each first shingle of the texts' sets and labelled shingles."""
+def shared(members: DataFrame, work: Workspace) -> DataFrame:
+    """Rows of ``members`` (h, node, ...) whose key h several nodes have, and ``size``, the number of those.
+
+    A filter of bounded size keeps keys that only one node has out of the shuffle, as far as it goes.
+    """
+    own = F.xxhash64("node")
+    often = members.groupBy("h").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo != hi").select("h")
+    near = work.table(maybe(members, bitmaps(often, work)).distinct())
+    sizes = near.groupBy(F.col("h").alias("_h")).agg(F.count("*").alias("size")).where("size > 1")
+    return near.join(sizes.hint("merge"), F.col("h") == F.col("_h")).drop("_h")
+
+
+def first_shingles(h: np.ndarray, n: np.ndarray, often: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sets of hashes, end to end and ``n`` of each, those that cannot all be missing in a set that is ``least`` similar, rare ones first:
+    the hashes, the numbers of their sets and their places in the order."""
+    doc = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((h, often[counters(h)], doc))
+    place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+    keep = place < np.repeat(n - np.ceil(least * n - 1e-9).astype(np.int64) + 1, n)
+    return h[order[keep]], doc[keep], place[keep]
+
+
+def counters(h: np.ndarray) -> np.ndarray:
+    return (h % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def prefixes(texts: DataFrame, least: float) -> DataFrame:
+    """Members (h, node, pos, total) of a bucket for each first shingle of the texts' sets and, where shingles repeat, of the labelled ones."""
     spark, slots = texts.sparkSession, COUNTERS
 
     def counted(batches):
         often = np.zeros(slots, np.int64)
         for batch in batches:
-            for t in batch["text"]:
-                np.add.at(often, counters(distinct(words(t))), 1)
+            for s in shingled(batch["text"], SHINGLE):
+                often += np.bincount(counters(s.distinct()[0]), minlength=slots)
         at = np.flatnonzero(often)
         yield pd.DataFrame({"slot": at, "n": often[at]})
 
@@ -257,20 +250,20 @@ def by_first_shingles(texts: DataFrame, least: float) -> DataFrame:
     found = texts.select("text").mapInPandas(counted, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     often = np.zeros(slots, np.int64)
     often[found["slot"].to_numpy()] = found["n"].to_numpy()
-    shared = spark.sparkContext.broadcast(often)
+    handle = spark.sparkContext.broadcast(often)
 
-    @F.pandas_udf("array<struct<key: bigint, pos: int, total: int>>")
-    def firsts(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            w, both = words(t), []
-            for family, h in enumerate((distinct(w), kmers(w))):
-                key = _mix(first_shingles(h, shared.value, least) + np.uint64(family)).view(np.int64)
-                both += [{"key": k, "pos": i, "total": len(h)} for i, k in enumerate(key.tolist())]
-            out.append(both)
-        return pd.Series(out)
+    def firsts(batches):
+        for batch in batches:
+            nodes = batch["node"].to_numpy()
+            for s in shingled(batch["text"], SHINGLE):
+                h, kinds = s.distinct()
+                again = s.n > kinds  # a pair can only align more than its sets share if both repeat shingles
+                both = [(h, kinds, s.rows), (s.labelled[np.repeat(again, s.n)], s.n[again], s.rows[again])]
+                for family, (h, n, rows) in enumerate(both):
+                    h, doc, place = first_shingles(h, n, handle.value, least)
+                    yield pd.DataFrame({"h": mix(h + np.uint64(family)).view(np.int64), "node": nodes[rows[doc]], "pos": place.astype(np.int32), "total": n[doc].astype(np.int32)})
 
-    return texts.select("node", F.explode(firsts.asNondeterministic()("text")).alias("f")).select("f.key", "node", "f.pos", "f.total")
+    return texts.select("node", "text").mapInPandas(firsts, "h bigint, node binary, pos int, total int")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", least: float = SIMILAR) -> DataFrame:
@@ -278,15 +271,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", lea
     spark = docs.sparkSession
     work = Workspace(spark, "near")
 
-    @F.pandas_udf("keys array<bigint>, n int, kinds int")
-    def sketched(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in texts:
-            w = words(t)
-            s = distinct(w)
-            h = kmers(w)
-            out.append((np.concatenate((sketches(h), bands(s))), len(h), len(s)))
-        return pd.DataFrame(out, columns=["keys", "n", "kinds"])
+    @F.arrow_udf("struct<keys: array<bigint>, n: int, kinds: int>")
+    def sketched(texts: pa.Array) -> pa.Array:
+        kinds_of = texts.dictionary_encode()
+        which, distinct_texts = kinds_of.indices.to_numpy(), kinds_of.dictionary.to_pylist()
+        width = SKETCHES + BANDS
+        keys, n, kinds = np.zeros((len(distinct_texts), width), np.int64), np.zeros(len(distinct_texts), np.int32), np.zeros(len(distinct_texts), np.int32)
+        for s in shingled(distinct_texts, SHINGLE):
+            h, sizes = s.distinct()
+            keys[s.rows] = np.concatenate((sketches(s.labelled, s.n), bands(h, sizes)), axis=1)
+            n[s.rows], kinds[s.rows] = s.n, sizes
+        # of equal texts in a batch one gets the keys
+        first = np.zeros(len(which), bool)
+        first[np.unique(which, return_index=True)[1]] = True
+        first &= n[which] > 0
+        offsets = np.concatenate(([0], np.cumsum(first * width))).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[which[first]].ravel()))
+        return pa.StructArray.from_arrays([lists, pa.array(n[which]), pa.array(kinds[which])], names=["keys", "n", "kinds"])
 
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -294,125 +295,141 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", lea
 
     keyed = docs.select(F.col(id).alias("id"), F.unhex(F.md5(text_of(text))).alias("node"), text_of(text).alias("text"))
     rows = work.table(keyed.select("id", "node", sketched.asNondeterministic()("text").alias("s")))
-    nodes = work.table(rows.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("s").alias("s")))
-
-    # what only the buckets need goes early, it is most of the disk
-    ids = work.table(rows.select("id", "node"))
-    own = work.table(nodes.select("node", "id", "copies", F.col("s.n").alias("n"), F.col("s.kinds").alias("kinds")))
-
-    def topped(members: DataFrame) -> DataFrame:
-        """``members`` (key, node, pos, total) of keys with several, and the first of each and the size."""
-        top = members.groupBy("key").agg(F.min(F.struct("pos", "node", "total")).alias("top"), F.count("*").alias("size")).where("size > 1")
-        return members.join(top, "key")
-
-    # buckets of several distinct texts
-    whole = work.table(topped(nodes.select(F.explode("s.keys").alias("key"), "node", F.lit(0).alias("pos"), F.lit(0).alias("total"))))
-    work.drop(rows, nodes)
-    used = whole.select("node").distinct()
-    sizes = work.table(own.join(used, "node", "left_semi").select("node", "id", "n", "kinds"))
-    held = keyed.join(sizes.select(F.col("node").alias("_n"), F.col("id").alias("_i")), (F.col("node") == F.col("_n")) & F.col("id").eqNullSafe(F.col("_i")))
+    nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.max("s.n").alias("n"), F.max("s.kinds").alias("kinds"))
+    members = work.table(shared(rows.select(F.explode("s.keys").alias("h"), "node"), work))
+
+    # nodes with a bucket in common with others, and their texts
+    weight = members.groupBy(F.col("node").alias("_n")).agg(F.sum(F.log2("size")).alias("weight"))
+    own = work.table(nodes.join(weight, F.col("node") == F.col("_n")).drop("_n"))
+    there = bitmaps(own.select(F.xxhash64("node").alias("h")), work)
+    held = maybe(keyed.withColumn("h", F.xxhash64("node")), there).join(
+        own.select(F.col("node").alias("_n"), F.col("id").alias("_i")), (F.col("node") == F.col("_n")) & F.col("id").eqNullSafe(F.col("_i")))
     texts = work.table(held.select("node", "text").dropDuplicates(["node"]))
 
-    buckets = whole.where(F.col("size") <= LARGE)
-    hot = whole.where(F.col("size") > LARGE).select("node").distinct()
-    if not hot.isEmpty():
-        hot = work.table(texts.join(hot, "node", "left_semi"))
-        buckets = buckets.unionByName(topped(by_first_shingles(hot, least)))
-        buckets = work.table(buckets)
-        work.drop(whole, hot)
-
-    fits = lambda x, y: 10 * F.least(x, y) >= F.lit(int(10 * least)) * F.greatest(x, y)
-
-    def possible(pairs: DataFrame) -> DataFrame:
-        """Pairs whose numbers of shingles, in all or distinct, leave the similarity possible."""
-        for side in ("a", "b"):
-            pairs = pairs.join(sizes.select(F.col("node").alias(f"_{side}"), F.col("n").alias(f"n{side}"), F.col("kinds").alias(f"k{side}")), F.col(side) == F.col(f"_{side}"))
-        return pairs.where(fits(F.col("na"), F.col("nb")) | fits(F.col("ka"), F.col("kb"))).select("a", "b", "ca", "cb")
-
     def verified(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(texts.select(F.col("node").alias("_na"), F.col("text").alias("ta")), F.col("a") == F.col("_na"))
-        both = one.join(texts.select(F.col("node").alias("_nb"), F.col("text").alias("tb")), F.col("b") == F.col("_nb"))
-        return both.where(similar("ta", "tb")).select("ca", "cb")
-
-    tested, labels = None, None
-
-    def label(df: DataFrame, column: str, name: str) -> DataFrame:
-        if labels is None:
-            return df.withColumn(name, F.col(column))
-        own = labels.select(F.col("node").alias("_l"), F.col("component").alias("_c"))
-        return df.join(own, F.col(column) == F.col("_l"), "left").withColumn(name, F.coalesce("_c", column)).drop("_l", "_c")
-
-    def merged(moves: DataFrame) -> DataFrame:
-        """The labels after ``moves`` of components; nodes without a label so far are components of their own."""
-        if labels is None:
-            return moves
-        to = moves.select(F.col("node").alias("_from"), F.col("component").alias("_to"))
-        old = labels.join(to, F.col("component") == F.col("_from"), "left").select("node", F.coalesce("_to", "component").alias("component"))
-        return work.table(old.unionByName(moves.join(labels.select("node"), "node", "left_anti")))
-
-    def test(pairs: DataFrame) -> bool:
-        """Verifies those pairs of different components that are not tested yet; whether there were any."""
-        nonlocal tested, labels
-        pairs = label(label(pairs.distinct(), "a", "ca"), "b", "cb").where("ca != cb").select("a", "b", "ca", "cb")
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = work.table(possible(pairs))
-        if pairs.isEmpty():
-            return False
-        done = pairs.select("a", "b")
-        tested = done if tested is None else tested.unionByName(done)
-        new = work.table(verified(pairs))
-        if not new.isEmpty():
-            labels = merged(components(new.select(F.col("ca").alias("a"), F.col("cb").alias("b")), work))
-        return True
-
-    def enough(pos: Column, total: Column, pos_b: Column, total_b: Column) -> Column:
-        """Whether the shingles from a common one on can make two texts similar; if none before is common, they are all there are."""
-        return (1 + least) * F.least(total - pos, total_b - pos_b) + 1e-6 >= least * (total + total_b)
-
-    star = buckets.where((F.col("node") != F.col("top.node")) & enough(F.col("pos"), F.col("total"), F.col("top.pos"), F.col("top.total")))
-    stars = work.table(star.select(F.col("top.node").alias("a"), F.col("node").alias("b"), "pos").groupBy("a", "b").agg(F.min("pos").alias("pos")))  # the bucket of the first common shingle
-    test(stars.groupBy("b").agg(F.min_by("a", F.struct("pos", "a")).alias("a")).select("a", "b"))
-    test(stars.select("a", "b"))
-    first, stop = 1, 8
-    while True:  # leaders first..stop-1 of each bucket that still has several components
-        inside = label(buckets, "node", "component")
-        mixed = inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
-        mixed = mixed.where((F.col("lo") != F.col("hi")) & (F.col("n") > first + 1)).select("key")
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("pos", "node")) - 1
-        left = work.table(inside.join(mixed, "key", "left_semi").select("key", "node", "component", "pos", "total", rank.alias("rank")))
-        if left.isEmpty():
-            break
-        lead = left.where((F.col("rank") >= first) & (F.col("rank") < stop)).select(
-            F.col("key").alias("_k"), F.col("node").alias("a"), F.col("component").alias("_c"), F.col("rank").alias("_r"), F.col("pos").alias("_p"), F.col("total").alias("_t"))
-        other = (F.col("key") == F.col("_k")) & (F.col("rank") > F.col("_r")) & (F.col("component") != F.col("_c"))
-        test(left.join(lead, other & enough(F.col("pos"), F.col("total"), F.col("_p"), F.col("_t"))).select("a", F.col("node").alias("b")))
-        work.drop(left)
-        first, stop = stop, 8 * stop
-
-    own = own.select("node", "id", "copies")
-    if labels is None:
-        known = own.withColumn("component", F.lit(None).cast("binary"))
-    else:
-        known = own.join(labels.select(F.col("node").alias("_l"), "component"), F.col("node") == F.col("_l"), "left").drop("_l")
-    known = work.table(known)
-    classes = known.where("component is not null").groupBy(F.col("component").alias("_c")).agg(F.min("id").alias("_class"))
-    named = known.join(classes, F.col("component") == F.col("_c"), "left").select(F.col("node").alias("_node"), "component", F.coalesce("_class", F.col("id")).alias("class_id"))
-    named = work.table(named)
-    return ids.join(named, F.col("node") == F.col("_node")).select("id", "node", "component", "class_id")
+        """The pairs (a, b, ...) that are similar. ``pairs`` come ordered by a, so the same text is there many times in a row."""
+        one = pairs.join(texts.select(F.col("node").alias("_nb"), F.col("text").alias("tb")).hint("merge"), F.col("b") == F.col("_nb"))
+        both = one.join(texts.select(F.col("node").alias("_na"), F.col("text").alias("ta")).hint("merge"), F.col("a") == F.col("_na"))
+        return both.where(similar("ta", "tb")).select(*pairs.columns)
+
+    def led(pairs: DataFrame) -> DataFrame:
+        """For each b of the pairs (a, b, weight) the a that it is paired with most often, of several the one with the most weight."""
+        often = pairs.groupBy("b", "a").agg(F.count("*").alias("times"), F.max("weight").alias("weight"))
+        return often.groupBy("b").agg(F.max(F.struct("times", "weight", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+
+    # step 1
+    fits = lambda x, y: F.least(x, y) >= F.lit(least - 1e-9) * F.greatest(x, y)
+    detailed = members.select("h", "node").join(own.select("node", "n", "kinds", "weight"), "node")
+    tops = detailed.groupBy(F.col("h").alias("_h")).agg(F.max(F.struct("weight", "node", "n", "kinds")).alias("top"))
+    star = detailed.join(tops.hint("merge"), (F.col("h") == F.col("_h")) & (F.col("node") != F.col("top.node")) & (fits(F.col("n"), F.col("top.n")) | fits(F.col("kinds"), F.col("top.kinds"))))
+    linked = work.table(verified(work.table(led(star.select(F.col("top.node").alias("a"), F.col("node").alias("b"), F.col("top.weight").alias("weight"))))))
+    components_of = components(linked, work)
+
+    def label(df: DataFrame) -> DataFrame:
+        found = components_of.select(F.col("node").alias("_l"), F.col("component").alias("_c"))
+        return df.join(found, F.col("node") == F.col("_l"), "left").withColumn("component", F.coalesce("_c", "node")).drop("_l", "_c")
+
+    def link(pairs: DataFrame) -> bool:
+        """Verifies pairs (a, b, ca, cb) of nodes and their components and joins the components of those that are similar; whether any are."""
+        nonlocal components_of
+        pairs = work.table(pairs)
+        new = work.table(verified(pairs).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+        found = not new.isEmpty()
+        if found:
+            moves = components(new, work)
+            to = moves.select(F.col("node").alias("_from"), F.col("component").alias("_to"))
+            old = components_of.join(to.hint("merge"), F.col("component") == F.col("_from"), "left").select("node", F.coalesce("_to", "component").alias("component"))
+            components_of = work.table(old.unionByName(moves.join(components_of.select("node"), "node", "left_anti")))
+        work.drop(pairs, new)
+        return found
+
+    # step 2
+    mixed = label(members).groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select(F.col("h").alias("_h"))
+    left = work.table(members.join(mixed.hint("merge"), F.col("h") == F.col("_h")).select("node").distinct())
+    if not left.isEmpty():
+        made = work.table(prefixes(texts.join(left, "node", "left_semi"), least))
+        buckets = work.table(shared(made, work).withColumn("most", F.lit((1 + least) / least) * (F.col("total") - F.col("pos")) - F.col("total") + F.lit(1e-6)))
+        work.drop(made)
+        before = None
+        while True:
+            some = work.table(fitting(label(buckets)))
+            again = work.table(fitting(some))
+            work.drop(some)
+            per = again.groupBy("h").agg(F.count("*").alias("n")).agg(F.sum("n").alias("members"), F.sum(F.expr("n * (n - 1) / 2")).alias("pairs")).first()
+            count, pairs = per["members"] or 0, per["pairs"] or 0
+            if not count:
+                break
+            crowded = pairs > CROWDED * count and (before is None or pairs < before / 2)
+            link(led_pairs(again, led) if crowded else other_pairs(again))
+            work.drop(again)
+            if not crowded:
+                break
+            before = pairs
+
+    classes = components_of.join(own.select("node", "id"), "node").groupBy(F.col("component").alias("_c")).agg(F.min("id").alias("_class"))
+    named = components_of.join(classes.hint("merge"), F.col("component") == F.col("_c")).select(F.col("node").alias("_l"), "component", "_class")
+    every = nodes.join(named, F.col("node") == F.col("_l"), "left").select(F.col("node").alias("_node"), "component", F.coalesce("_class", "id").alias("class_id"))
+    out = rows.select("id", "node").join(every.hint("merge"), F.col("node") == F.col("_node")).select("id", "node", "component", "class_id")
+    return work.only(out)
+
+
+def fitting(members: DataFrame) -> DataFrame:
+    """Members (h, node, component, total, most) that fit, by size, a member of another component in their bucket.
+
+    ``most`` is the largest total that the bound allows a partner. So a member needs a partner of at most that
+    total whose own ``most`` is at least the member's total. Each bucket is summed up by component and these by
+    the least total and the largest ``most`` of all components and of all but the one that has it.
+    """
+    part = members.groupBy("h", "component").agg(F.min("total").alias("lo"), F.max("most").alias("hi"))
+    best = part.groupBy(F.col("h").alias("_h")).agg(F.min(F.struct("lo", "component")).alias("l"), F.max(F.struct("hi", "component")).alias("u"), F.count("*").alias("kinds")).where("kinds > 1")
+    rest = part.join(best.hint("merge"), F.col("h") == F.col("_h"))
+    other = lambda x, end: F.when(F.col("component") != F.col(f"{x}.component"), F.col(end))
+    second = rest.groupBy("_h").agg(F.first("l").alias("l"), F.first("u").alias("u"), F.min(other("l", "lo")).alias("lo2"), F.max(other("u", "hi")).alias("hi2"))
+    lo = F.when(F.col("component") == F.col("l.component"), F.col("lo2")).otherwise(F.col("l.lo"))
+    hi = F.when(F.col("component") == F.col("u.component"), F.col("hi2")).otherwise(F.col("u.hi"))
+    return members.join(second.hint("merge"), F.col("h") == F.col("_h")).where((lo <= F.col("most")) & (hi >= F.col("total"))).select(*members.columns)
+
+
+def other_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b, ca, cb) of different components in a bucket that the bound allows."""
+    a = members.select(*[F.col(c).alias(f"_{c}") for c in members.columns])
+    on = (F.col("h") == F.col("_h")) & (F.col("_node") < F.col("node")) & (F.col("_component") != F.col("component"))
+    on = on & (F.col("total") <= F.col("_most")) & (F.col("_total") <= F.col("most"))
+    return members.join(a, on).select(F.col("_node").alias("a"), F.col("node").alias("b"), F.col("_component").alias("ca"), F.col("component").alias("cb")).distinct()
+
+
+def led_pairs(members: DataFrame, led) -> DataFrame:
+    """Pairs (a, b, ca, cb) of each node and the bucket leader that it meets most often; leaders have the largest ``most`` beyond their total."""
+    tops = members.groupBy(F.col("h").alias("_h")).agg(F.max(F.struct((F.col("most") - F.col("total")).alias("room"), "node", "component")).alias("top"))
+    star = members.join(tops.hint("merge"), (F.col("h") == F.col("_h")) & (F.col("top.component") != F.col("component")))
+    best = led(star.select(F.col("top.node").alias("a"), F.col("node").alias("b"), F.col("top.room").alias("weight")))
+    known = members.select(F.col("node").alias("_n"), "component").distinct()
+    for node, component in (("a", "ca"), ("b", "cb")):
+        best = best.join(known.select("_n", F.col("component").alias(component)).hint("merge"), F.col(node) == F.col("_n")).drop("_n")
+    return best.select("a", "b", "ca", "cb")
 
 
 def keep_one(docs: DataFrame, text: str = "text", id: str = "doc_id", least: float = SIMILAR) -> DataFrame:
-    """``docs`` with one document of each class: that with the smallest id (nulls last), of equal ids that with the smallest digest."""
+    """``docs`` with one document of each class: that with the smallest id (nulls last), of equal ids that with the smallest digest.
+
+    Of the documents only those that go, and as many others as the filter lets through, are shuffled.
+    """
     work = Workspace(docs.sparkSession, "near")
-    found = work.table(near_duplicates(docs, text, id, least).withColumn("class", F.coalesce("component", "node")))
+    near = near_duplicates(docs, text, id, least)
+    found = near.select("id", "node", F.coalesce("component", "node").alias("class"))
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("node"))
-    kept = found.groupBy("class").agg(F.min(order).alias("o"), F.count("*").alias("n"))
-    extra = found.join(kept.where("n > 1"), "class").select("id", "node", (order == F.col("o")).alias("is_first"))
-    extra = work.table(extra)
-    gone = extra.where("not is_first").select(F.col("id").alias("_i"), F.col("node").alias("_n")).distinct()
-    digest = F.unhex(F.md5(text_of(text)))
-    out = docs.join(gone, docs[id].eqNullSafe(gone["_i"]) & (digest == gone["_n"]), "left_anti")
-    if not extra.where("is_first").groupBy("id", "node").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates([id, text])  # rows that repeat a kept one
-    return out
+    kept = found.groupBy(F.col("class").alias("_class")).agg(F.min(order).alias("o"), F.count("*").alias("n")).where("n > 1")
+    extra = work.table(found.join(kept.hint("merge"), F.col("class") == F.col("_class")).select("id", "node", (order == F.col("o")).alias("is_first")))
+    work.drop(near)
+    gone = work.table(extra.where("not is_first").select(F.col("id").alias("_i"), F.col("node").alias("_n")).distinct())
+    twice = not extra.where("is_first").groupBy("id", "node").count().where("count > 1").isEmpty()
+    work.drop(extra)
+    i, n, digest, key, flag = fresh(docs, "_i", "_n", "_digest", "_key", "_flag")
+    there = bitmaps(gone.select(F.xxhash64("_i", "_n").alias("h")), work)
+    gone = gone.withColumnsRenamed({"_i": i, "_n": n})
+    named = docs.withColumn(digest, F.unhex(F.md5(text_of(text)))).withColumn(key, F.xxhash64(id, digest))
+    flagged = in_bitmaps(named, there, key, flag)
+    some = flagged.where(F.col(flag))
+    some = some.join(gone.hint("merge"), some[id].eqNullSafe(gone[i]) & (some[digest] == gone[n]), "left_anti")
+    out = flagged.where(~F.col(flag)).unionByName(some).select(*docs.columns)
+    return out.dropDuplicates([id, text]) if twice else out  # rows that repeat a kept one

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import Workspace, fresh, text_of
 
 CAPACITY, END_ID = 4096, 1
-#: Chunks, and words, whose ids a worker remembers in a generation, and pieces of a length that one task ranks.
-REMEMBERED, RANKED = 100_000, 1 << 20
+#: Chunks and words whose ids a worker remembers in a generation, and pieces of a length that one task ranks.
+REMEMBERED, WORDS, RANKED = 200_000, 100_000, 1 << 20
 
 #: The normalizer and the pre-tokenizer that ``WordTokenizer`` follows.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -86,7 +86,7 @@ class WordTokenizer:
         self.model, config = self.tokenizer.model, json.loads(self.tokenizer.to_str())
         self.simple = config["normalizer"] == NORMALIZER and config["pre_tokenizer"] == PRE_TOKENIZER and config["model"]["type"] == "BPE"
         self.letters = _byte_letters()
-        self.chunks, self.words = Memory(self._chunk, REMEMBERED), Memory(self._word, REMEMBERED)
+        self.chunks, self.words = Memory(self._chunk, REMEMBERED), Memory(self._word, WORDS)
 
     def _word(self, word: str) -> bytes:
         mapped = word.encode().decode("latin-1").translate(self.letters)
