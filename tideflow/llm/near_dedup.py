@@ -247,7 +247,7 @@ def prefixes(texts: DataFrame, least: float) -> DataFrame:
         yield pd.DataFrame({"slot": at, "n": often[at]})
 
     # any order does for all texts alike, so shingles may share a counter
-    found = texts.select("text").mapInPandas(counted, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    found = texts.select("text").mapInPandas(counted, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     often = np.zeros(slots, np.int64)
     often[found["slot"].to_numpy()] = found["n"].to_numpy()
     handle = spark.sparkContext.broadcast(often)
