@@ -235,14 +235,17 @@ def counters(h: np.ndarray) -> np.ndarray:
 
 
 def prefixes(texts: DataFrame, least: float) -> DataFrame:
-    """Members (h, node, pos, total) of a bucket for each first shingle of the texts' sets and, where shingles repeat, of the labelled ones."""
+    """Members (h, node, component, total, most) of a bucket for each first shingle of the texts' sets and, where shingles repeat, of the labelled ones.
+
+    ``total`` is the number of shingles, ``most`` the largest one of a partner with which the shingles from this one on are enough.
+    """
     spark, slots = texts.sparkSession, COUNTERS
 
     def counted(batches):
         often = np.zeros(slots, np.int64)
         for batch in batches:
             for s in shingled(batch["text"], SHINGLE):
-                often += np.bincount(counters(s.distinct()[0]), minlength=slots)
+                often += np.bincount(counters(s.labelled), minlength=slots)
         at = np.flatnonzero(often)
         yield pd.DataFrame({"slot": at, "n": often[at]})
 
@@ -254,20 +257,22 @@ def prefixes(texts: DataFrame, least: float) -> DataFrame:
 
     def firsts(batches):
         for batch in batches:
-            nodes = batch["node"].to_numpy()
+            nodes, parts = batch["node"].to_numpy(), batch["component"].to_numpy()
             for s in shingled(batch["text"], SHINGLE):
                 h, kinds = s.distinct()
                 again = s.n > kinds  # a pair can only align more than its sets share if both repeat shingles
                 both = [(h, kinds, s.rows), (s.labelled[np.repeat(again, s.n)], s.n[again], s.rows[again])]
                 for family, (h, n, rows) in enumerate(both):
                     h, doc, place = first_shingles(h, n, handle.value, least)
-                    yield pd.DataFrame({"h": mix(h + np.uint64(family)).view(np.int64), "node": nodes[rows[doc]], "pos": place.astype(np.int32), "total": n[doc].astype(np.int32)})
+                    total = n[doc]
+                    most = np.floor((1 + least) / least * (total - place) - total + 1e-6)
+                    yield pd.DataFrame({"h": mix(h + np.uint64(family)).view(np.int64), "node": nodes[rows[doc]], "component": parts[rows[doc]], "total": total, "most": most.astype(np.int64)})
 
-    return texts.select("node", "text").mapInPandas(firsts, "h bigint, node binary, pos int, total int")
+    return texts.select("node", "component", "text").mapInPandas(firsts, "h bigint, node bigint, component bigint, total bigint, most bigint")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", least: float = SIMILAR) -> DataFrame:
-    """Rows id, node (binary digest of the text), component and class_id of all documents; component is null for texts like no other."""
+    """Rows id, node (binary digest of the text), component (a number) and class_id of all documents; component is null for texts like no other."""
     spark = docs.sparkSession
     work = Workspace(spark, "near")
 
@@ -293,21 +298,24 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", lea
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([shingle_similarity(x, y, least) >= least for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    keyed = docs.select(F.col(id).alias("id"), F.unhex(F.md5(text_of(text))).alias("node"), text_of(text).alias("text"))
-    rows = work.table(keyed.select("id", "node", sketched.asNondeterministic()("text").alias("s")))
-    nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.max("s.n").alias("n"), F.max("s.kinds").alias("kinds"))
-    members = work.table(shared(rows.select(F.explode("s.keys").alias("h"), "node"), work))
-
-    # nodes with a bucket in common with others, and their texts
-    weight = members.groupBy(F.col("node").alias("_n")).agg(F.sum(F.log2("size")).alias("weight"))
-    own = work.table(nodes.join(weight, F.col("node") == F.col("_n")).drop("_n"))
-    there = bitmaps(own.select(F.xxhash64("node").alias("h")), work)
-    held = maybe(keyed.withColumn("h", F.xxhash64("node")), there).join(
-        own.select(F.col("node").alias("_n"), F.col("id").alias("_i")), (F.col("node") == F.col("_n")) & F.col("id").eqNullSafe(F.col("_i")))
+    keyed = docs.select(F.col(id).alias("id"), F.unhex(F.md5(text_of(text))).alias("digest"), text_of(text).alias("text"))
+    rows = work.table(keyed.select("id", "digest", sketched.asNondeterministic()("text").alias("s")))
+    kinds_of_text = rows.groupBy("digest").agg(F.min("id").alias("id"), F.max("s.n").alias("n"), F.max("s.kinds").alias("kinds"))
+    keys = work.table(shared(rows.select(F.explode("s.keys").alias("h"), F.col("digest").alias("node")), work))
+
+    # nodes with a bucket in common with others get a number, and their texts are fetched
+    weight = keys.groupBy(F.col("node").alias("_n")).agg(F.sum(F.log2("size")).alias("weight"))
+    own = kinds_of_text.join(weight, F.col("digest") == F.col("_n")).drop("_n")
+    own = work.table(own.withColumn("node", F.monotonically_increasing_id()))
+    number = own.select(F.col("digest").alias("_d"), F.col("id").alias("_i"), F.col("node"))
+    there = bitmaps(own.select(F.xxhash64("digest").alias("h")), work)
+    held = maybe(keyed.withColumn("h", F.xxhash64("digest")), there).join(number, (F.col("digest") == F.col("_d")) & F.col("id").eqNullSafe(F.col("_i")))
     texts = work.table(held.select("node", "text").dropDuplicates(["node"]))
+    members = work.table(keys.select("h", F.col("node").alias("_d")).join(own.drop("id"), F.col("_d") == F.col("digest")).select("h", "node", "n", "kinds", "weight"))
+    work.drop(keys, there)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b, ...) that are similar. ``pairs`` come ordered by a, so the same text is there many times in a row."""
+        """The pairs (a, b, ...) that are similar. They come ordered by a, so the same text is there many times in a row."""
         one = pairs.join(texts.select(F.col("node").alias("_nb"), F.col("text").alias("tb")).hint("merge"), F.col("b") == F.col("_nb"))
         both = one.join(texts.select(F.col("node").alias("_na"), F.col("text").alias("ta")).hint("merge"), F.col("a") == F.col("_na"))
         return both.where(similar("ta", "tb")).select(*pairs.columns)
@@ -319,57 +327,58 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", lea
 
     # step 1
     fits = lambda x, y: F.least(x, y) >= F.lit(least - 1e-9) * F.greatest(x, y)
-    detailed = members.select("h", "node").join(own.select("node", "n", "kinds", "weight"), "node")
-    tops = detailed.groupBy(F.col("h").alias("_h")).agg(F.max(F.struct("weight", "node", "n", "kinds")).alias("top"))
-    star = detailed.join(tops.hint("merge"), (F.col("h") == F.col("_h")) & (F.col("node") != F.col("top.node")) & (fits(F.col("n"), F.col("top.n")) | fits(F.col("kinds"), F.col("top.kinds"))))
-    linked = work.table(verified(work.table(led(star.select(F.col("top.node").alias("a"), F.col("node").alias("b"), F.col("top.weight").alias("weight"))))))
-    components_of = components(linked, work)
+    tops = members.groupBy(F.col("h").alias("_h")).agg(F.max(F.struct("weight", "node", "n", "kinds")).alias("top"))
+    star = members.join(tops.hint("merge"), (F.col("h") == F.col("_h")) & (F.col("node") != F.col("top.node")) & (fits(F.col("n"), F.col("top.n")) | fits(F.col("kinds"), F.col("top.kinds"))))
+    pairs = work.table(led(star.select(F.col("top.node").alias("a"), F.col("node").alias("b"), F.col("top.weight").alias("weight"))))
+    linked = work.table(verified(pairs))
+    component_of = components(linked, work)
+    work.drop(pairs, linked)
 
     def label(df: DataFrame) -> DataFrame:
-        found = components_of.select(F.col("node").alias("_l"), F.col("component").alias("_c"))
+        found = component_of.select(F.col("node").alias("_l"), F.col("component").alias("_c"))
         return df.join(found, F.col("node") == F.col("_l"), "left").withColumn("component", F.coalesce("_c", "node")).drop("_l", "_c")
 
-    def link(pairs: DataFrame) -> bool:
-        """Verifies pairs (a, b, ca, cb) of nodes and their components and joins the components of those that are similar; whether any are."""
-        nonlocal components_of
+    def link(pairs: DataFrame) -> None:
+        """Verifies pairs (a, b, ca, cb) of nodes and their components and joins the components of those that are similar."""
+        nonlocal component_of
         pairs = work.table(pairs)
         new = work.table(verified(pairs).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-        found = not new.isEmpty()
-        if found:
+        if not new.isEmpty():
             moves = components(new, work)
             to = moves.select(F.col("node").alias("_from"), F.col("component").alias("_to"))
-            old = components_of.join(to.hint("merge"), F.col("component") == F.col("_from"), "left").select("node", F.coalesce("_to", "component").alias("component"))
-            components_of = work.table(old.unionByName(moves.join(components_of.select("node"), "node", "left_anti")))
+            old = component_of.join(to.hint("merge"), F.col("component") == F.col("_from"), "left").select("node", F.coalesce("_to", "component").alias("component"))
+            component_of = work.table(old.unionByName(moves.join(component_of.select("node"), "node", "left_anti")))
         work.drop(pairs, new)
-        return found
 
     # step 2
-    mixed = label(members).groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select(F.col("h").alias("_h"))
-    left = work.table(members.join(mixed.hint("merge"), F.col("h") == F.col("_h")).select("node").distinct())
-    if not left.isEmpty():
-        made = work.table(prefixes(texts.join(left, "node", "left_semi"), least))
-        buckets = work.table(shared(made, work).withColumn("most", F.lit((1 + least) / least) * (F.col("total") - F.col("pos")) - F.col("total") + F.lit(1e-6)))
+    labelled = label(members.select("h", "node"))
+    mixed = labelled.groupBy(F.col("h").alias("_h")).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("_h")
+    some = work.table(labelled.join(mixed.hint("merge"), F.col("h") == F.col("_h")).select("node", "component").distinct())
+    work.drop(members)
+    if not some.isEmpty():
+        made = work.table(prefixes(texts.join(some, "node"), least))
+        left = work.table(shared(made, work).drop("size"))
         work.drop(made)
         before = None
         while True:
-            some = work.table(fitting(label(buckets)))
-            again = work.table(fitting(some))
-            work.drop(some)
+            again = work.table(fitting(left))
+            work.drop(left)
             per = again.groupBy("h").agg(F.count("*").alias("n")).agg(F.sum("n").alias("members"), F.sum(F.expr("n * (n - 1) / 2")).alias("pairs")).first()
             count, pairs = per["members"] or 0, per["pairs"] or 0
             if not count:
                 break
             crowded = pairs > CROWDED * count and (before is None or pairs < before / 2)
             link(led_pairs(again, led) if crowded else other_pairs(again))
-            work.drop(again)
             if not crowded:
                 break
-            before = pairs
+            # components only grow, so a member that fits no other one now never will
+            before, left = pairs, work.table(label(again.drop("component")))
+            work.drop(again)
 
-    classes = components_of.join(own.select("node", "id"), "node").groupBy(F.col("component").alias("_c")).agg(F.min("id").alias("_class"))
-    named = components_of.join(classes.hint("merge"), F.col("component") == F.col("_c")).select(F.col("node").alias("_l"), "component", "_class")
-    every = nodes.join(named, F.col("node") == F.col("_l"), "left").select(F.col("node").alias("_node"), "component", F.coalesce("_class", "id").alias("class_id"))
-    out = rows.select("id", "node").join(every.hint("merge"), F.col("node") == F.col("_node")).select("id", "node", "component", "class_id")
+    classes = component_of.join(own.select("node", "id"), "node").groupBy(F.col("component").alias("_c")).agg(F.min("id").alias("_class"))
+    named = component_of.join(classes.hint("merge"), F.col("component") == F.col("_c")).join(own.select("node", F.col("digest").alias("_d")), "node").select("_d", "component", "_class")
+    every = kinds_of_text.join(named, F.col("digest") == F.col("_d"), "left").select(F.col("digest").alias("_digest"), "component", F.coalesce("_class", "id").alias("class_id"))
+    out = rows.select("id", "digest").join(every.hint("merge"), F.col("digest") == F.col("_digest")).select("id", F.col("digest").alias("node"), "component", "class_id")
     return work.only(out)
 
 
@@ -416,10 +425,12 @@ def keep_one(docs: DataFrame, text: str = "text", id: str = "doc_id", least: flo
     """
     work = Workspace(docs.sparkSession, "near")
     near = near_duplicates(docs, text, id, least)
-    found = near.select("id", "node", F.coalesce("component", "node").alias("class"))
+    alone = F.when(F.col("component").isNull(), F.col("node"))
+    found = near.select("id", "node", F.xxhash64("component", alone).alias("k"), "component", alone.alias("alone"))
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("node"))
-    kept = found.groupBy(F.col("class").alias("_class")).agg(F.min(order).alias("o"), F.count("*").alias("n")).where("n > 1")
-    extra = work.table(found.join(kept.hint("merge"), F.col("class") == F.col("_class")).select("id", "node", (order == F.col("o")).alias("is_first")))
+    kept = found.groupBy(*[F.col(c).alias(f"_{c}") for c in ("k", "component", "alone")]).agg(F.min(order).alias("o"), F.count("*").alias("n")).where("n > 1")
+    same = (F.col("k") == F.col("_k")) & F.col("component").eqNullSafe(F.col("_component")) & F.col("alone").eqNullSafe(F.col("_alone"))
+    extra = work.table(found.join(kept.hint("merge"), same).select("id", "node", (order == F.col("o")).alias("is_first")))
     work.drop(near)
     gone = work.table(extra.where("not is_first").select(F.col("id").alias("_i"), F.col("node").alias("_n")).distinct())
     twice = not extra.where("is_first").groupBy("id", "node").count().where("count > 1").isEmpty()
