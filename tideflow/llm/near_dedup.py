@@ -378,6 +378,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", lea
     classes = component_of.join(own.select("node", "id"), "node").groupBy(F.col("component").alias("_c")).agg(F.min("id").alias("_class"))
     named = component_of.join(classes.hint("merge"), F.col("component") == F.col("_c")).join(own.select("node", F.col("digest").alias("_d")), "node").select("_d", "component", "_class")
     every = kinds_of_text.join(named, F.col("digest") == F.col("_d"), "left").select(F.col("digest").alias("_digest"), "component", F.coalesce("_class", "id").alias("class_id"))
+    every = work.table(every)  # so that the next join stands alone and a digest of many copies is split
     out = rows.select("id", "digest").join(every.hint("merge"), F.col("digest") == F.col("_digest")).select("id", F.col("digest").alias("node"), "component", "class_id")
     return work.only(out)
 
