@@ -18,16 +18,16 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, text_of
+from .common import Workspace, text_of, trim
+from .shingles import word_hashes
 
 WINDOW, KGRAM = 10, 5
 BLOCK_BYTES = 16 << 20
-#: Bytes of text that are handled at once in a worker, and words whose hashes it remembers.
-CHUNK_BYTES, REMEMBERED = 4 << 20, 400_000
+#: Bytes of text that are handled at once in a worker.
+CHUNK_BYTES = 2 << 20
 
 #: A-Z in lower case, other ASCII but digits and letters to spaces; bytes from 0x80 up stay.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or chr(c).isalnum() else 32 for c in range(256))
@@ -37,15 +37,6 @@ def words(text: str) -> list[bytes]:
     return text.encode().translate(_WORDS).split()
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = out = xxhash.xxh64_intdigest(word)
-        return out
-
-
-_hashes = _Hashes()
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return h ^ (h >> np.uint64(29))
@@ -96,17 +87,15 @@ class Items:
                 owners = self.owners[size][tuple(w[p : p + size])]
                 if not owners or owners[-1] != number[item]:
                     owners.append(number[item])
-            prints[size].append(fingerprints(np.array([_hashes[x] for x in w], np.uint64), size))
+            prints[size].append(fingerprints(word_hashes(b" ".join(w)), size))
         self.owners = {size: dict(x) for size, x in self.owners.items()}
         self.prints = {size: np.unique(np.concatenate(x)) for size, x in prints.items()}
 
     def scan(self, texts: list[str]) -> list[tuple[int, list[tuple[int, int]], set[int]]]:
         """Of each text: number of words, hit word ranges (merged), numbers of the items found."""
         lists = [words(t) for t in texts]
-        if len(_hashes) > REMEMBERED:
-            _hashes.clear()
         flat = [x for one in lists for x in one]
-        hashes = np.fromiter(map(_hashes.__getitem__, flat), np.uint64, len(flat))
+        hashes = word_hashes(b" ".join(flat))
         ends = np.cumsum([len(x) for x in lists]) if lists else np.empty(0, np.int64)
         found: list[tuple[list, set]] = [([], set()) for _ in lists]
         for size, known in self.prints.items():
@@ -154,6 +143,7 @@ def _matcher(handle):
         items, out = handle.value, []
         for chunk in _chunks(texts.fillna("").tolist()):
             out += items.scan(chunk)
+        trim()
         return pd.DataFrame({
             "n_words": [n for n, _, _ in out],
             "spans": [[{"start": a, "end": b} for a, b in spans] for _, spans, _ in out],

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, bitmaps, fresh, in_bitmaps, maybe, text_of
+from .common import Workspace, bitmaps, fresh, in_bitmaps, maybe, text_of, trim
 from .shingles import Shingled, mix, shingled, words
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -290,13 +290,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", lea
         first = np.zeros(len(which), bool)
         first[np.unique(which, return_index=True)[1]] = True
         first &= n[which] > 0
+        trim()
         offsets = np.concatenate(([0], np.cumsum(first * width))).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[which[first]].ravel()))
         return pa.StructArray.from_arrays([lists, pa.array(n[which]), pa.array(kinds[which])], names=["keys", "n", "kinds"])
 
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([shingle_similarity(x, y, least) >= least for x, y in zip(a, b, strict=True)], dtype=bool)
+        out = pd.Series([shingle_similarity(x, y, least) >= least for x, y in zip(a, b, strict=True)], dtype=bool)
+        _shingles.cache_clear()
+        trim()
+        return out
 
     keyed = docs.select(F.col(id).alias("id"), F.unhex(F.md5(text_of(text))).alias("digest"), text_of(text).alias("text"))
     rows = work.table(keyed.select("id", "digest", sketched.asNondeterministic()("text").alias("s")))

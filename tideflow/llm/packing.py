@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, fresh, text_of
+from .common import Workspace, fresh, text_of, trim
 
 CAPACITY, END_ID = 4096, 1
 #: Chunks and words whose ids a worker remembers in a generation, and pieces of a length that one task ranks.
@@ -105,6 +105,11 @@ class WordTokenizer:
             b = b.lower()
         return b"".join(map(self.chunks.__getitem__, b.split()))
 
+    def forget(self) -> None:
+        for memory in (self.chunks, self.words):
+            memory.clear()
+            memory.old = {}
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         return [self.encode(t) for t in texts]
 
@@ -140,6 +145,8 @@ def pieces(docs: DataFrame, text: str = "text", path: str | None = None, capacit
                 row = {"piece": i // step, "start": i // 4, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)}
                 rows.append(row | {"ids": np.frombuffer(part, "<u4").astype(np.int64)} if with_ids else row)
             out.append(rows)
+        own.forget()  # else a worker would hold it as long as the executor lives
+        trim()
         return pd.Series(out)
 
     made = ["piece", "start", "length", "ids_crc32", *["ids"] * with_ids]

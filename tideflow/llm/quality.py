@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, fresh, text_of
+from .common import Workspace, fresh, text_of, trim
 
 BITS, SPREAD = 15, 4
 #: Documents that a group's parent counts as in its quartiles.
@@ -85,7 +85,9 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 def _measured(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([measure(t) for t in texts.fillna("")], columns=MEASURES)
+    out = pd.DataFrame([measure(t) for t in texts.fillna("")], columns=MEASURES)
+    trim()
+    return out
 
 
 def measures(text: Column) -> Column:
