@@ -9,8 +9,13 @@ def tokens(text: Column | str) -> Column:
 
     Extracting first keeps letters whose lower case is ASCII (the Kelvin sign) out.
     """
+    return F.transform(letter_runs(text), F.lower)
+
+
+def letter_runs(text: Column | str) -> Column:
+    """Array of maximal ASCII letter runs as they are; lower-casing after an explode stays inside compiled code."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0)), F.lower)
+    return F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0))
 
 
 def int32_wrap(total: Column) -> Column:

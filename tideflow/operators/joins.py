@@ -14,7 +14,7 @@ BROADCAST_LIMIT = 64 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's upper estimate of a DataFrame's size."""
+    """The optimizer's estimate of a DataFrame's size; after an explode or opaque code it may be too small."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
@@ -45,8 +45,11 @@ def lookup_join(probe: DataFrame, build: DataFrame, key: Keys, first_by: Sequenc
 
 def sort_join(left: DataFrame, right: DataFrame, key: Keys, how: str = "inner", *, null_safe: bool = False) -> DataFrame:
     """Sort-merge join, m:n; adaptive execution splits skewed partitions."""
-    keys = _keys(key)
-    hinted = right.hint("merge")
+    return _joined(left, right, _keys(key), how, null_safe, "merge")
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str, null_safe: bool, hint: str | None = None) -> DataFrame:
+    hinted = right.hint(hint) if hint else right
     if not null_safe:
         return left.join(hinted, keys, how)
     joined = left.join(hinted, _on(left, right, keys, True), how)
@@ -58,17 +61,18 @@ def sort_join(left: DataFrame, right: DataFrame, key: Keys, how: str = "inner",
 
 
 def outer_join(left: DataFrame, right: DataFrame, key: Keys, side: str = "full", *, null_safe: bool = False) -> DataFrame:
+    """Outer join; the planner chooses between a small side's broadcast and a shuffle. ``sort_join`` asks for sort-merge."""
     if side not in ("left", "right", "full"):
         raise ValueError("side is left, right or full")
-    return sort_join(left, right, key, side, null_safe=null_safe)
+    return _joined(left, right, _keys(key), side, null_safe)
 
 
 def semi_join(left: DataFrame, right: DataFrame, key: Keys, *, null_safe: bool = False) -> DataFrame:
-    return sort_join(left, right, key, "left_semi", null_safe=null_safe)
+    return _joined(left, right, _keys(key), "left_semi", null_safe)
 
 
 def anti_join(left: DataFrame, right: DataFrame, key: Keys, *, null_safe: bool = False) -> DataFrame:
-    return sort_join(left, right, key, "left_anti", null_safe=null_safe)
+    return _joined(left, right, _keys(key), "left_anti", null_safe)
 
 
 def duplicate(df: DataFrame, task_count: int, id_name: str = "task_id") -> DataFrame:
@@ -80,5 +84,10 @@ def duplicate(df: DataFrame, task_count: int, id_name: str = "task_id") -> DataF
 
 
 def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
-    """Beside every row, the columns of a one-row DataFrame (a global aggregate)."""
-    return df.join(F.broadcast(scalars.limit(1)))
+    """Beside every row, the columns of a one-row DataFrame (a global aggregate).
+
+    As for a scalar subquery, no row means nulls, and more than one row is an error when the result is computed.
+    """
+    one = scalars.agg(F.count("*").alias("_rows"), F.first(F.struct("*")).alias("_row"))
+    single = F.when(F.col("_rows") <= 1, True).otherwise(F.raise_error(F.lit("the scalar side has more than one row")).cast("boolean"))
+    return df.join(F.broadcast(one.where(single).select("_row.*")))

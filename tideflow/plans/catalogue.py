@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import int32_wrap, tokens
+from ..functions import int32_wrap, letter_runs
 from ..operators import (
     anti_join, broadcast_join, cogroup, demultiplex, distinct_keys, duplicate, filter_rows, flat_map, gather,
     group_values, lookup_join, outer_join, per_partition, project, reduce_by_key, running, semi_join, sort_join,
@@ -37,7 +37,8 @@ def total(column: str | Column) -> Column:
 
 @query("select w, count(*) n from (select lower(unnest(regexp_extract_all(text,'[A-Za-z]+'))) w from documents) group by 1")
 def wordcount(t):
-    return reduce_by_key(flat_map(t("documents"), tokens("text"), "w"), "w", n=F.count("*"))
+    words = flat_map(t("documents"), letter_runs("text"), "w")
+    return reduce_by_key(words.select(F.lower("w").alias("w")), "w", n=F.count("*"))
 
 
 @query("select l_orderkey,l_linenumber,l_quantity from lineitem")
@@ -52,7 +53,7 @@ def one_to_one_filter(t):
 
 @query("select doc_id, lower(unnest(regexp_extract_all(text,'[A-Za-z]+'))) w from documents")
 def flatmap_tokens(t):
-    return flat_map(t("documents"), tokens("text"), "w", "doc_id")
+    return flat_map(t("documents"), letter_runs("text"), "w", "doc_id").withColumn("w", F.lower("w"))
 
 
 @query("select case when o_totalprice>=100000 then 'hi' else 'lo' end port, o_orderkey from orders")
@@ -64,9 +65,17 @@ def split_branches(t):
 @query("""select 'sum' tag,l_returnflag k,cast(sum(l_quantity) as bigint) v from lineitem group by 2
 union all select 'max',l_returnflag,cast(max(l_quantity) as bigint) from lineitem group by 2""")
 def fanout_two_consumers(t):
-    both = reduce_by_key(t("lineitem"), "l_returnflag", sum=total("l_quantity"), max=F.max("l_quantity").cast("bigint"))
-    one = lambda tag: both.select(F.lit(tag).alias("tag"), F.col("l_returnflag").alias("k"), F.col(tag).alias("v"))
-    return unite(one("sum"), one("max"))
+    """One output port with two consumers, whose results a third united."""
+    g = FlowGraph()
+    scan = g.add_vertex("scan", Processor(outputs=[OutputPort("out", key="k")], fn=lambda: t("lineitem").select(F.col("l_returnflag").alias("k"), "l_quantity")))
+    both = g.add_vertex("both", Processor([InputPort("x", Movement.ONE_TO_ONE)], [OutputPort("out")], fn=lambda x: x))
+    for tag, column in (("sum", total("l_quantity")), ("max", F.max("l_quantity").cast("bigint"))):
+        def one(x, tag=tag, column=column):
+            return x.agg(v=column).select(F.lit(tag).alias("tag"), "k", "v")
+        v = g.add_vertex(tag, Processor([InputPort("x", Movement.SCATTER_GATHER)], [OutputPort("out")], fn=one))
+        g.add_edge(scan.output_port(0), v.input_port(0))
+        g.add_edge(v.output_port(0), both.input_port(0))
+    return Compiler(SparkSession.active(), g).compile().frames[both.id, 0]
 
 
 @query("select o_orderkey k from orders union all select l_orderkey from lineitem")
@@ -269,9 +278,12 @@ def diamond_dag(t):
     return Compiler(SparkSession.active(), g).compile().frames[both.id, 0]
 
 
-@query("select hex(encode(c_name)) k,c_custkey v from customer")
+@query("select c_nationkey g, hex(encode(c_name)) k, row_number() over (partition by c_nationkey order by encode(c_name), c_custkey) r from customer")
 def key_byte_order(t):
-    return t("customer").select(F.hex(F.encode("c_name", "utf-8")).alias("k"), F.col("c_custkey").alias("v"))
+    """Keys in the order of their bytes."""
+    key = F.encode("c_name", "utf-8")
+    rank = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(key, "c_custkey"))
+    return t("customer").select(F.col("c_nationkey").alias("g"), F.hex(key).alias("k"), rank.cast("bigint").alias("r"))
 
 
 @query("select n_nationkey from nation")

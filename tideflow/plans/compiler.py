@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 import pyarrow as pa
@@ -17,7 +17,7 @@ from ..operators.joins import checked_broadcast, estimated_bytes
 from ..operators.narrow import unite
 from .graph import FlowGraph, Vertex
 from .ports import Grouped, Movement, same_schema
-from .processor import ArrowProcessor, Processor, Task, emit
+from .processor import ArrowProcessor, Processor, Task, Write, emit
 
 #: Opaque code gets a BROADCAST port as an Arrow table; beyond this many estimated bytes it is refused.
 OPAQUE_BROADCAST_LIMIT = 512 << 20
@@ -28,15 +28,32 @@ class Compiled:
     """DataFrames by (vertex id, output port index); sinks: what an execution must run."""
 
     frames: dict[tuple[int, int], DataFrame] = field(default_factory=dict)
-    sinks: list[tuple[Vertex, DataFrame]] = field(default_factory=list)
+    sinks: list[tuple[Vertex, DataFrame | Write]] = field(default_factory=list)
     persisted: list[DataFrame] = field(default_factory=list)
     initialized: list[Processor] = field(default_factory=list)
 
 
 class Compiler:
-    def __init__(self, spark: SparkSession, graph: FlowGraph, partitions: int | None = None):
-        self.spark, self.graph, self.partitions, self.out = spark, graph, partitions, Compiled()
-        self.consumers = graph.consumers()
+    """``records`` and ``size`` bound the batches that opaque code emits. With ``actions`` the graph's sinks and unread
+    outputs are run one by one, so what several of them read is kept; else the caller's one action shares exchanges."""
+
+    def __init__(self, spark: SparkSession, graph: FlowGraph, partitions: int | None = None, records: int | None = None, size: int | None = None, actions: bool = False):
+        self.spark, self.graph, self.partitions, self.records, self.size, self.out = spark, graph, partitions, records, size, Compiled()
+        self.consumers, self.actions = graph.consumers(), actions
+        self.reached = self._reached()
+
+    def _reached(self) -> dict[tuple[int, int], set]:
+        """For each output the actions (sinks and unread outputs) that read it."""
+        after: dict[int, set] = {}
+        out: dict[tuple[int, int], set] = {}
+        for vertex in reversed(self.graph.order()):
+            own = set() if vertex.processor.outputs else {vertex.id}
+            for i in range(len(vertex.processor.outputs)):
+                readers = self.consumers.get((vertex.id, i), [])
+                out[vertex.id, i] = set().union(*[after[v] for v, _ in readers]) if readers else {(vertex.id, i)}
+                own |= out[vertex.id, i]
+            after[vertex.id] = own
+        return out
 
     def compile(self) -> Compiled:
         for vertex in self.graph.order():
@@ -78,8 +95,10 @@ class Compiler:
             self.out.frames[vertex.id, i] = self._shared(vertex, i, df)
 
     def _shared(self, vertex: Vertex, port: int, df: DataFrame) -> DataFrame:
-        """Opaque results that several ports read are kept, else their code would run again for each."""
-        if len(self.consumers.get((vertex.id, port), [])) > 1 and isinstance(vertex.processor, ArrowProcessor):
+        """Results that are read more than once are kept: of opaque code for each port, of others for each action."""
+        readers = self.consumers.get((vertex.id, port), [])
+        forks = len({v for v, _ in readers}) > 1 and len(self.reached[vertex.id, port]) > 1
+        if len(readers) > 1 and isinstance(vertex.processor, ArrowProcessor) or self.actions and forks:
             df = df.persist(StorageLevel.DISK_ONLY)
             self.out.persisted.append(df)
         return df
@@ -106,6 +125,11 @@ class Compiler:
         results: list[list[DataFrame]] = [[] for _ in processor.outputs]
         for bound in calls:
             got = processor.process(**bound)
+            if isinstance(got, Write):
+                if processor.outputs:
+                    raise ProcessorDefinitionError(f"{vertex.name}: only a processor without output ports writes")
+                self.out.sinks.append((vertex, replace(got, df=self._limited(processor, got.df))))
+                continue
             if isinstance(got, DataFrame):
                 if not processor.outputs:
                     self.out.sinks.append((vertex, self._limited(processor, got)))
@@ -124,7 +148,7 @@ class Compiler:
         processor = vertex.processor
         names = [p.name for p in processor.outputs]
         kind = T.StructType([T.StructField("_port", T.IntegerType())] + [T.StructField(p.name, T.StructType.fromDDL(p.schema)) for p in processor.outputs])
-        schema, logical = to_arrow_schema(kind), vertex.id
+        schema, logical, records, size = to_arrow_schema(kind), vertex.id, self.records, self.size
         handles = {n: None if t is None else self.spark.sparkContext.broadcast(t) for n, t in broadcasts.items()}
         every = {p.name: None for p in processor.inputs}
 
@@ -135,7 +159,7 @@ class Compiler:
         def one(bound, physical):
             task = Task(bound, names, logical, physical)
             processor.run(task)
-            yield from emit(task, names, schema)
+            yield from emit(task, names, schema, records, size)
 
         def source(batches):
             base = started()

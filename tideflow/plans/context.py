@@ -8,6 +8,7 @@ import os
 import threading
 import time
 import uuid
+from collections import defaultdict, deque
 from dataclasses import dataclass
 from typing import Any
 
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .compiler import Compiled, Compiler
 from .graph import FlowGraph
 from .ports import Movement
+from .processor import Write
 
 log = logging.getLogger("tideflow")
 
@@ -26,7 +28,9 @@ class Configuration:
     """Settings of an execution. Each setter returns the configuration.
 
     ``partition_count`` follows the number of processing units at construction, not later changes
-    of ``max_concurrency``. ``affinity`` is accepted and has no effect: Spark places tasks.
+    of ``max_concurrency``, which limits how many sinks run at once. ``default_records_per_buffer`` and
+    ``default_output_buffer_size`` bound the batches that opaque code emits. ``affinity`` is accepted and has
+    no effect: Spark places tasks.
     """
 
     def __post_init__(self):
@@ -65,6 +69,11 @@ class Configuration:
     def profile_log(self, path: str) -> Configuration:
         return self._set("profile_log", path)
 
+    def copied(self) -> Configuration:
+        out = Configuration()
+        out._values = dict(self._values)
+        return out
+
     def as_dict(self) -> dict[str, Any]:
         return {k: v for k, v in self._values.items() if k not in ("affinity", "profile_log")}
 
@@ -89,12 +98,13 @@ class Context:
         self.results: dict[tuple[str, str], DataFrame] = {}
 
     def set_flow_graph(self, graph: FlowGraph) -> Context:
+        """A copy of the graph: later changes of it or of its processors do not reach this context."""
         graph.order()
-        self._graph = graph
+        self._graph = graph.copied()
         return self
 
     def set_configuration(self, conf: Configuration) -> Context:
-        self._conf = conf
+        self._conf = conf.copied()
         return self
 
     def add_thread_observer(self, observer: ThreadObserver) -> Context:
@@ -103,7 +113,12 @@ class Context:
 
     def compile(self) -> Compiled:
         """The graph's lazy DataFrames, without running its sinks."""
-        return Compiler(self.spark, self._graph, self._conf.get("partition_count")).compile()
+        return self._compiler().compile()
+
+    def _compiler(self, actions: bool = False) -> Compiler:
+        """Each execution has copies of the processors, so none sees what another has left in them."""
+        value = self._conf.get
+        return Compiler(self.spark, self._graph.copied(), value("partition_count"), value("default_records_per_buffer"), value("default_output_buffer_size"), actions)
 
     def execute(self) -> Context:
         if self._thread is not None:
@@ -134,23 +149,26 @@ class Context:
             log.error("suppressed after the first failure: %s", error)
 
     def _run(self) -> None:
-        sc, events, begun = self.spark.sparkContext, [], []
-        compiler = Compiler(self.spark, self._graph, self._conf.get("partition_count"))
+        sc, events, begun = self.spark.sparkContext, defaultdict(list), []
+        compiler = self._compiler(actions=True)
+
+        def timed(event: str, vertex: int | None, work) -> None:
+            at = time.time()
+            try:
+                work()
+            finally:
+                events[threading.current_thread().name].append({"task_id": vertex, "event": event, "begin_us": int(at * 1e6), "end_us": int(time.time() * 1e6)})
+
         try:
             sc.setJobGroup(self._group, "tideflow execution", interruptOnCancel=True)
             for observer in self._observers:
                 observer.on_initialize()
                 begun.append(observer)
-            compiled = compiler.compile()
+            timed("compile", None, compiler.compile)
+            compiled = compiler.out
             read = {s for sources in self._graph.edges.values() for s in sources}
             leaves = [(v, compiled.frames[v.id, i]) for v in self._graph.vertices for i in range(len(v.processor.outputs)) if (v.id, i) not in read and (v.id, i) in compiled.frames]
-            for vertex, df in [*compiled.sinks, *leaves]:
-                if self._cancelled:
-                    raise RuntimeError("the execution was cancelled")
-                sc.setJobDescription(vertex.name)
-                at = time.time()
-                df.write.format("noop").mode("overwrite").save()
-                events.append({"task_id": vertex.id, "event": "execution", "begin_us": int(at * 1e6), "end_us": int(time.time() * 1e6)})
+            self._run_all([*compiled.sinks, *leaves], timed)
             self.results = {(self._graph.vertices[v].name, self._graph.vertices[v].processor.outputs[i].name): df for (v, i), df in compiled.frames.items()}
             if self._cancelled:
                 raise RuntimeError("the execution was cancelled")
@@ -159,7 +177,7 @@ class Context:
         finally:
             for processor in compiler.out.initialized:
                 try:
-                    processor.global_finalize(self._error is not None)
+                    timed("finalize", None, lambda p=processor: p.global_finalize(self._error is not None))
                 except Exception as e:  # noqa: BLE001
                     self._fail(e)
             for observer in reversed(begun):
@@ -173,7 +191,42 @@ class Context:
             with open(self._conf.get("profile_log"), "w") as f:
                 json.dump(self.profile(events), f, indent=1)
 
-    def profile(self, events: list[dict]) -> dict:
+    def _run_all(self, actions: list, timed) -> None:
+        """Runs sinks and unread outputs side by side, as many as ``max_concurrency`` lets; the first failure cancels the others."""
+        sc, todo, lock = self.spark.sparkContext, deque(actions), threading.Lock()
+        first: list[BaseException] = []
+
+        def one(vertex, what) -> None:
+            sc.setJobDescription(vertex.name)
+            work = what.run if isinstance(what, Write) else what.write.format("noop").mode("overwrite").save
+            timed("execution", vertex.id, work)
+
+        def worker() -> None:
+            while True:
+                with lock:
+                    if not todo or first or self._cancelled:
+                        return
+                    action = todo.popleft()
+                try:
+                    one(*action)
+                except BaseException as e:  # noqa: BLE001 - wait() raises it
+                    with lock:
+                        first.append(e)
+                    sc.cancelJobGroup(self._group)
+
+        threads = [InheritableThread(target=worker, session=self.spark, name=f"tideflow-sink-{i}") for i in range(min(len(actions), self._conf.get("max_concurrency")))]
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join()
+        if self._cancelled:
+            raise RuntimeError("the execution was cancelled")
+        for late in first[1:]:
+            log.error("suppressed after the first failure: %s", late)
+        if first:
+            raise first[0]
+
+    def profile(self, events: dict[str, list[dict]]) -> dict:
         """Configuration, logical tasks (processors, then the shuffles, gathers and value sorts between them), their edges and timings."""
         g = self._graph
         tasks = [{"task_id": v.id, "task_name": v.name} for v in g.vertices]
@@ -206,4 +259,4 @@ class Context:
                 edge(mid, 0, by, 0)
                 mid = by
             edge(mid, 0, v, i)
-        return {"configuration": self._conf.as_dict(), "logical_tasks": tasks, "logical_dependencies": edges, "events": {"driver": events}}
+        return {"configuration": self._conf.as_dict(), "logical_tasks": tasks, "logical_dependencies": edges, "events": dict(events)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from dataclasses import dataclass
 
 from ..errors import RoutingError
@@ -60,7 +61,8 @@ class FlowGraph:
     __hash__ = object.__hash__
 
     def add_vertex(self, name: str, processor: Processor) -> Vertex:
-        vertex = Vertex(self, len(self.vertices), name, processor)
+        """A vertex with a copy of the processor: what is done to the caller's object later does not reach the graph."""
+        vertex = Vertex(self, len(self.vertices), name, copy.copy(processor))
         self.vertices.append(vertex)
         return vertex
 
@@ -74,6 +76,14 @@ class FlowGraph:
             raise ValueError(f"{target.port.name} groups by key, but {source.port.name} has none")
         self.edges.setdefault((target.vertex, target.index), []).append((source.vertex, source.index))
 
+    def copied(self) -> FlowGraph:
+        """A graph of its own with copies of the processors, for one execution."""
+        out = FlowGraph()
+        for v in self.vertices:
+            out.add_vertex(v.name, v.processor)
+        out.edges = {target: list(sources) for target, sources in self.edges.items()}
+        return out
+
     def sources(self, vertex: int, port: int) -> list[tuple[int, int]]:
         return self.edges.get((vertex, port), [])
 

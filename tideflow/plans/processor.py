@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 from typing import Any
 
 import pyarrow as pa
@@ -12,6 +13,21 @@ from ..errors import ProcessorDefinitionError
 from .ports import InputPort, Movement, OutputPort
 
 
+@dataclass(frozen=True)
+class Write:
+    """What a sink's ``process`` may return instead of a DataFrame: an execution writes it."""
+
+    df: DataFrame
+    path: str
+    format: str = "parquet"
+    mode: str = "overwrite"
+    partition_by: tuple[str, ...] = ()
+    options: dict[str, Any] = field(default_factory=dict)
+
+    def run(self) -> None:
+        self.df.write.mode(self.mode).options(**self.options).partitionBy(*self.partition_by).format(self.format).save(self.path)
+
+
 class Processor:
     """A vertex whose work is declared with DataFrames.
 
@@ -19,7 +35,8 @@ class Processor:
     port: a DataFrame for ONE_TO_ONE and BROADCAST ports, a ``Grouped`` for SCATTER_GATHER
     ports. Several ONE_TO_ONE ports are a union: ``process`` is called once for each with the
     others as None, and the outputs are united. It returns a DataFrame per output port (a
-    mapping, or the DataFrame itself if there is one port, or None for a pure sink).
+    mapping, or the DataFrame itself if there is one port). A sink, without output ports, returns a
+    ``Write``, a DataFrame that is only run, or None if ``process`` itself has done everything.
     """
 
     def __init__(self, inputs: Sequence[InputPort] = (), outputs: Sequence[OutputPort] = (), fn=None, *,
@@ -115,8 +132,8 @@ class ArrowProcessor(Processor):
         raise NotImplementedError("the compiler runs opaque code")
 
 
-def emit(task: Task, names: Sequence[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """What a run has put out, as batches of (_port, one struct per port)."""
+def emit(task: Task, names: Sequence[str], schema: pa.Schema, records: int | None = None, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """What a run has put out, as batches of (_port, one struct per port) with at most ``records`` rows and about ``size`` bytes."""
     for i, name in enumerate(names):
         kind = schema.field(name).type
         for item in task.output(name):
@@ -125,7 +142,10 @@ def emit(task: Task, names: Sequence[str], schema: pa.Schema) -> Iterator[pa.Rec
             else:
                 table = pa.Table.from_batches([item]) if isinstance(item, pa.RecordBatch) else item
             table = table.select([f.name for f in kind]).cast(pa.schema(list(kind)))
-            for batch in table.to_batches():
+            most = records
+            if size and table.nbytes > size:
+                most = min(records or table.num_rows, max(1, size * table.num_rows // table.nbytes))
+            for batch in table.to_batches(max_chunksize=most):
                 n = batch.num_rows
                 if not n:
                     continue

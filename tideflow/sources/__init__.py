@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterable
 from typing import Any
 
@@ -10,6 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one only in local mode without that setting."""
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir")
+    if not path and sc._jsc.sc().getCheckpointDir().isDefined():
+        path = sc._jsc.sc().getCheckpointDir().get()
+    if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="tideflow-")
+        sc.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
 def scan_parquet(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
