@@ -109,10 +109,10 @@ def test_line_dedup_with_clashing_hashes(spark, sf_dir, monkeypatch):
     assert rows() == want
 
 
-@pytest.mark.parametrize("name", ["op2_line_dedup", "op4_secrets", "op7_url_filter"])
+@pytest.mark.parametrize("name", ["op2_line_dedup", "op4_secrets", "op7_url_filter", "op9_decontamination"])
 def test_queries_equal_their_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet')")
     want = con.execute(queries.ORACLE[name]).fetchdf()
     got = queries.QUERIES[name](spark, sf_dir).toPandas()
@@ -142,6 +142,21 @@ def test_secrets_base_spans(spark, odd_docs, no_docs):
     assert secrets.find_secrets(odd_docs).count() == odd_docs.count() and secrets.find_secrets(no_docs).count() == 0
 
 
+def test_secrets_mirrors(spark):
+    """A text that owners mirror is one repository; the same value in two texts of three owners is an example."""
+    own = "xY7" * 9
+    rows = [(i, f"bare {own} value", f"s{i}") for i in range(4)]
+    judged = lambda r: {x.doc_id: [f.verdict for f in x.found] for x in secrets.find_secrets(spark.createDataFrame(r, "doc_id bigint, text string, source string"), repository=secrets.F.md5("text")).collect()}
+    assert judged(rows)[0] == ["shared"] and judged([*rows, (9, f"another {own}", "s0")])[9] == []
+
+
+def test_secrets_many_matches(spark):
+    n = 2500
+    text = " ".join(f"é token=abcdefgh{i}" for i in range(n))
+    got = secrets.find_secrets(spark.createDataFrame([(1, text, "s")], "doc_id bigint, text string, source string")).select(secrets.joined(secrets.F.col("base")).alias("b")).first().b
+    assert got == brute_secrets(text) and got.count(",") == n - 1
+
+
 def test_secrets_ownership(spark):
     copied, own = "password=examplepass1", "aB3" * 9
     rows = [(i, f"use {copied} here", f"s{i}") for i in range(4)] + [(10, f"bare {own} value", "s1"), (11, f"again {own}", "s1"), (12, f"{own[::-1]}", "s2"), (13, f"{own[::-1]}", "s3"), (14, f"key {own[::-1]}", None)]

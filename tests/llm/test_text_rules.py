@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tideflow.llm import decontaminate, packing, quality, queries, url_filter
+from tideflow.llm import common, decontaminate, packing, quality, queries, url_filter
 
 
 def brute_measures(text):
@@ -248,15 +248,17 @@ def check_contamination(out, docs, items):
         assert (c.n_words, c.n_hit, list(c["items"])) == (n, hits, found)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 24, 600])
-def test_decontamination(spark, documents, sf_dir, block_bytes):
+@pytest.mark.parametrize("bits", [decontaminate.FILTER_BITS, common.ROW_BITS])
+def test_decontamination(spark, documents, sf_dir, monkeypatch, bits):
+    """Also with a filter so small that it lets more windows through."""
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", bits)
     bench = pd.read_parquet(f"{sf_dir}/benchmark.parquet")
     items = [*bench.itertuples(index=False, name=None), (9001, "two Words"), (9002, "the"), (9003, ""), (9004, None), (9001, "again same id"), (9005, bench.text[0])]
     texts = documents.text.tolist()[:80]
     texts += ["x " + bench.text[0].upper() + " y", bench.text[1][5:], "Two words", "two\u00a0words", "two-words the END", "", None, " ".join(bench.text[:3])]
     docs = dict(enumerate(texts))
     df = spark.createDataFrame([(i, t, "z") for i, t in docs.items()], "doc_id bigint, text string, items string")
-    got = decontaminate.decontaminate(df, spark.createDataFrame(items, "item_id bigint, text string"), block_bytes=block_bytes).collect()
+    got = decontaminate.decontaminate(df, spark.createDataFrame(items, "item_id bigint, text string")).collect()
     assert len(got) == len(docs)
     check_contamination(got, docs, items)
 

@@ -96,13 +96,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 ROW_BITS, LEAST_BITS, MOST_BITS = 15, 18, 30
 
 
-def bitmaps(hashes: DataFrame, work: Workspace) -> DataFrame:
-    """A filter of the values of ``h``: rows (_bucket, _bits, _filter) of bitmaps, 16 bits a value as far as ``MOST_BITS`` goes.
+def bitmaps(hashes: DataFrame, work: Workspace, most: int = MOST_BITS) -> DataFrame:
+    """A filter of the values of ``h``: rows (_bucket, _bits) of bitmaps, 16 bits a value as far as ``most`` goes.
 
     It only spares shuffling rows that join nothing: a full one lets all through. ``hashes`` is read once.
     """
     held = work.table(hashes.select("h"))
-    bits = min(MOST_BITS, max(LEAST_BITS, (16 * held.count()).bit_length()))
+    bits = min(most, max(LEAST_BITS, (16 * held.count()).bit_length()))
     at = F.pmod(F.col("h"), F.lit(1 << bits))
     placed = held.select(F.shiftright(at, ROW_BITS).alias("_bucket"), at.bitwiseAND((1 << ROW_BITS) - 1).alias("_bit"))
     # dealt by bitmap first, so that no task holds partial copies of all of them

@@ -2,32 +2,28 @@
 
 Both sides keep, of every window of consecutive word k-grams, the smallest hash. A span of
 ``WINDOW`` words that a document shares with an item has the same window of k-grams on both
-sides, hence a common fingerprint, so no shared span is missed. Fingerprints of the items are
-joined with those of the documents; each hit is extended to the whole window and its words
-are compared, so no hit is false.
+sides, hence a common fingerprint, so no shared span is missed. Documents are scanned once: of
+their fingerprints those go on that a filter of bounded size does not rule out. These are joined with the
+items' by fingerprint, and each hit is extended to the window of words, which is compared as well, so no hit is
+false. Equal texts go through the join once, and hits are put together per text.
 
-The item side of the join is sent to the executors in blocks of at most ``BLOCK_BYTES`` of
-text; a benchmark of any size is worked off block by block over all documents.
-
-Null and empty texts have no words and no hits. Repeated rows are judged alike.
+A benchmark may have any size: its windows are a table like others. Null and empty texts have
+no words and no hits. Repeated rows are judged alike. Items of equal id are one.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, text_of, trim
+from .common import ROW_BITS, Workspace, bitmaps, fresh, in_bitmaps, text_of, trim
 from .shingles import word_hashes
 
 WINDOW, KGRAM = 10, 5
-BLOCK_BYTES = 16 << 20
-#: Bytes of text that are handled at once in a worker.
-CHUNK_BYTES = 2 << 20
+#: Bytes of text that are handled at once in a worker, and the power of two of bits that the filter of fingerprints has at most (16 MB).
+CHUNK_BYTES, FILTER_BITS = 2 << 20, 27
 
 #: A-Z in lower case, other ASCII but digits and letters to spaces; bytes from 0x80 up stay.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or chr(c).isalnum() else 32 for c in range(256))
@@ -69,50 +65,6 @@ def fingerprints(hashes: np.ndarray, size: int) -> np.ndarray:
     return window_minima(kgrams(hashes, k), size - k + 1)
 
 
-class Items:
-    """Windows of a block of benchmark items, by length and words, and their fingerprints."""
-
-    def __init__(self, rows: list[tuple[str, str]], window: int = WINDOW):
-        self.window = window
-        self.owners: dict[int, dict[tuple, list[int]]] = defaultdict(lambda: defaultdict(list))
-        self.ids: list[str] = sorted({i for i, _ in rows})
-        number = {x: n for n, x in enumerate(self.ids)}
-        prints = defaultdict(list)
-        for item, text in rows:
-            w = words(text)
-            if not w:
-                continue
-            size = min(window, len(w))
-            for p in range(len(w) - size + 1):
-                owners = self.owners[size][tuple(w[p : p + size])]
-                if not owners or owners[-1] != number[item]:
-                    owners.append(number[item])
-            prints[size].append(fingerprints(word_hashes(b" ".join(w)), size))
-        self.owners = {size: dict(x) for size, x in self.owners.items()}
-        self.prints = {size: np.unique(np.concatenate(x)) for size, x in prints.items()}
-
-    def scan(self, texts: list[str]) -> list[tuple[int, list[tuple[int, int]], set[int]]]:
-        """Of each text: number of words, hit word ranges (merged), numbers of the items found."""
-        lists = [words(t) for t in texts]
-        flat = [x for one in lists for x in one]
-        hashes = word_hashes(b" ".join(flat))
-        ends = np.cumsum([len(x) for x in lists]) if lists else np.empty(0, np.int64)
-        found: list[tuple[list, set]] = [([], set()) for _ in lists]
-        for size, known in self.prints.items():
-            mine = fingerprints(hashes, size)
-            at = np.searchsorted(known, mine)
-            at[at == len(known)] = 0
-            hits = np.flatnonzero(known[at] == mine)
-            docs = np.searchsorted(ends, hits, side="right")
-            for p, d in zip(hits[hits + size <= ends[docs]].tolist() if len(hits) else [], docs[hits + size <= ends[docs]].tolist() if len(hits) else [], strict=True):
-                owners = self.owners[size].get(tuple(flat[p : p + size]))
-                if owners:
-                    base = int(ends[d]) - len(lists[d])
-                    found[d][0].append((p - base, p - base + size))
-                    found[d][1].update(owners)
-        return [(len(w), merged(spans), items) for w, (spans, items) in zip(lists, found, strict=True)]
-
-
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Union of half-open ranges, in order."""
     out: list[tuple[int, int]] = []
@@ -135,62 +87,111 @@ def _chunks(texts: list[str]):
         yield texts[begin:]
 
 
-def _matcher(handle):
-    schema = "n_words bigint, spans array<struct<start:int,end:int>>, items array<string>"
+def item_windows(items: DataFrame, window: int) -> DataFrame:
+    """Rows (h, size, words, item) of the windows of items (i, t): fingerprint, number of words, and the words themselves."""
+
+    def cut(frames):
+        for frame in frames:
+            for item, text in zip(frame["i"], frame["t"], strict=True):
+                w = words(text)
+                if not w:
+                    continue
+                size = min(window, len(w))
+                prints = fingerprints(word_hashes(b" ".join(w)), size).view(np.int64)
+                for at in range(0, len(prints), 10_000):
+                    own = [b" ".join(w[p : p + size]) for p in range(at, min(at + 10_000, len(prints)))]
+                    yield pd.DataFrame({"h": prints[at : at + 10_000], "size": size, "words": own, "item": item})
 
-    @F.pandas_udf(schema)
-    def match(texts: pd.Series) -> pd.DataFrame:
-        items, out = handle.value, []
+    return items.mapInPandas(cut, "h bigint, size int, words binary, item string")
+
+
+def _scanner(sizes: list[int], handle, bits: int):
+    """UDF of a text's windows that the filter lets through: array of (h, size, words, start)."""
+
+    @F.pandas_udf("array<struct<h: bigint, size: int, words: binary, start: int>>")
+    def scan(texts: pd.Series) -> pd.Series:
+        there, out = handle.value, []
         for chunk in _chunks(texts.fillna("").tolist()):
-            out += items.scan(chunk)
+            lists = [words(t) for t in chunk]
+            flat = [x for one in lists for x in one]
+            hashes, ends = word_hashes(b" ".join(flat)), np.cumsum([len(x) for x in lists])
+            found: list[list] = [[] for _ in lists]
+            for size in sizes:
+                mine = fingerprints(hashes, size)
+                place = (mine & np.uint64((1 << bits) - 1)).astype(np.int64)
+                at = np.flatnonzero((there[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
+                doc = np.searchsorted(ends, at, side="right")
+                inside = at + size <= ends[doc] if len(at) else np.zeros(0, bool)
+                for p, d in zip(at[inside].tolist(), doc[inside].tolist(), strict=True):
+                    found[d].append({"h": int(mine[p].view(np.int64)), "size": size, "words": b" ".join(flat[p : p + size]), "start": p - int(ends[d]) + len(lists[d])})
+            out += found
         trim()
-        return pd.DataFrame({
-            "n_words": [n for n, _, _ in out],
-            "spans": [[{"start": a, "end": b} for a, b in spans] for _, spans, _ in out],
-            "items": [[items.ids[i] for i in sorted(found)] for _, _, found in out],
-        })
+        return pd.Series(out)
+
+    return scan.asNondeterministic()
 
-    return match.asNondeterministic()  # evaluated once, however many of its fields are used
 
+def _n_words(texts: pd.Series) -> pd.Series:
+    return pd.Series([len(words(t)) for t in texts.fillna("")], dtype="int64")
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-                  window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+
+def _merged(spans: pd.Series) -> pd.Series:
+    return pd.Series([[{"start": a, "end": b} for a, b in merged([(x["start"], x["end"]) for x in one])] for one in spans])
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, window: int, work: Workspace) -> DataFrame:
+    """Rows (digest, spans, items) of the texts with windows of the benchmark."""
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), text_of(item_text).alias("t"))
+    every = work.table(item_windows(items, window).distinct())
+    sizes = sorted(r[0] for r in every.select("size").distinct().collect())  # ``window`` values at most
+    filter = bitmaps(every.select("h"), work, FILTER_BITS)
+    bits = np.zeros((1 << (filter._filter_bits - ROW_BITS), 1 << (ROW_BITS - 3)), np.uint8)
+    for r in filter.collect():  # 2^FILTER_BITS bits at most
+        own = np.frombuffer(r["_bits"], np.uint8)
+        bits[r["_bucket"], : len(own)] = own
+    scan = _scanner(sizes, docs.sparkSession.sparkContext.broadcast(bits.ravel()), filter._filter_bits)
+    scanned = docs.select(F.unhex(F.md5(text_of(text))).alias("digest"), scan(text_of(text)).alias("found")).where(F.size("found") > 0)
+    once = work.table(scanned).groupBy("digest").agg(F.first("found").alias("found"))
+    each = once.select("digest", F.explode("found").alias("f")).select("digest", "f.*")
+    # a window that most texts have stays a split join: sort-merge, with its items in one row
+    owned = every.groupBy(*[F.col(c).alias(f"_{c}") for c in ("h", "size", "words")]).agg(F.collect_list("item").alias("items"))
+    joined = each.join(owned.hint("merge"), (F.col("h") == F.col("_h")) & (F.col("size") == F.col("_size")) & (F.col("words") == F.col("_words")))
+    span = F.struct("start", (F.col("start") + F.col("size")).alias("end"))
+    found = joined.groupBy("digest").agg(F.collect_set(span).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    out = work.table(found.select("digest", F.pandas_udf(_merged, "array<struct<start: int, end: int>>")("spans").alias("spans"), "items"))
+    work.drop(every, filter)
+    return out
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` and a struct ``contamination`` of n_words, spans (hit word ranges), items (ids as strings) and n_hit.
 
-    A benchmark within one block (the usual case) costs one pass without a shuffle. More blocks
-    cost a pass each; their findings meet in a shuffle by document, without the texts.
+    Only texts with hits, and as many others as a filter lets through, are shuffled.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), text_of(item_text).alias("t"))
-    size = items.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
-    blocks = max(1, -(-int(size) // block_bytes))
-    items = items.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)))
-
-    def block(b: int):
-        rows = [(r["i"], r["t"]) for r in items.where(F.col("b") == b).collect()]
-        return spark.sparkContext.broadcast(Items(rows, window))
-
-    if blocks == 1:
-        out = docs.withColumn("contamination", _matcher(block(0))(text_of(text)))
-    else:
-        work = Workspace(spark, "decontaminate")
-        keys = docs.select(text_of(text).alias("t")).withColumn("k", F.sha2("t", 256))
-        parts = None
-        for b in range(blocks):
-            part = work.table(keys.select("k", _matcher(block(b))("t").alias("m")).where(F.size("m.spans") > 0))
-            parts = part if parts is None else parts.unionByName(part)
-        spans = F.flatten(F.collect_set("m.spans"))
-        joined = parts.groupBy("k").agg(spans.alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("m.items")))).alias("_found"))
-        first = F.lit(0).cast("int")
-        start = F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("done"), first.alias("a"), first.alias("b"))
-        step = lambda acc, x: F.when(x["start"] <= acc["b"], F.struct(acc["done"].alias("done"), acc["a"].alias("a"), F.greatest(acc["b"], x["end"]).alias("b"))).otherwise(
-            F.struct(F.concat(acc["done"], F.array(F.struct(acc["a"].alias("start"), acc["b"].alias("end")))).alias("done"), x["start"].alias("a"), x["end"].alias("b")))
-        last = lambda acc: F.filter(F.concat(acc["done"], F.array(F.struct(acc["a"].alias("start"), acc["b"].alias("end")))), lambda x: x["end"] > x["start"])
-        joined = joined.select(F.col("k").alias("_k"), F.aggregate(F.array_sort("s"), start, step, last).alias("_hits"), "_found")
-        counted = _matcher(spark.sparkContext.broadcast(Items([], window)))
-        out = docs.withColumn("_k", F.sha2(text_of(text), 256)).withColumn("_n", counted(text_of(text))["n_words"])
-        out = out.join(joined, "_k", "left").select(*[out[c] for c in docs.columns], F.struct(
-            F.col("_n").alias("n_words"), F.coalesce("_hits", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
-            F.coalesce("_found", F.array().cast("array<string>")).alias("items")).alias("contamination"))
-    n_hit = F.aggregate("contamination.spans", F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"])
-    return out.withColumn("contamination", F.col("contamination").withField("n_hit", n_hit))
+    work = Workspace(docs.sparkSession, "decontaminate")
+    docs = docs.drop("contamination")
+    found = hits(docs, benchmark, text, item_id, item_text, window, work)
+    there = bitmaps(found.select(F.xxhash64("digest").alias("h")), work)
+    digest, key, flag, mine, spans, items = fresh(docs, "_digest", "_key", "_flag", "_mine", "_spans", "_items")
+    found = found.select(F.col("digest").alias(mine), F.col("spans").alias(spans), F.col("items").alias(items))
+    named = docs.withColumn(digest, F.unhex(F.md5(text_of(text)))).withColumn(key, F.xxhash64(digest))
+    flagged = in_bitmaps(named, there, key, flag)
+    some = flagged.where(F.col(flag)).join(found.hint("merge"), F.col(digest) == F.col(mine), "left")
+    none = flagged.where(~F.col(flag)).withColumns({spans: F.lit(None).cast(found.schema[spans].dataType), items: F.lit(None).cast("array<string>")})
+    both = none.unionByName(some.drop(mine))
+    out = both.withColumns({spans: F.coalesce(spans, F.expr("cast(array() as array<struct<start: int, end: int>>)")), items: F.coalesce(items, F.expr("cast(array() as array<string>)"))})
+    n_hit = F.aggregate(spans, F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"])
+    return out.select(*docs.columns, F.struct(F.pandas_udf(_n_words, "bigint")(text_of(text)).alias("n_words"), F.col(spans).alias("spans"), F.col(items).alias("items"), n_hit.alias("n_hit")).alias("contamination"))
+
+
+def sql() -> str:
+    """The query over documents and benchmark in DuckDB."""
+    words = lambda t: f"regexp_extract_all(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""with d as (select doc_id, {words('text')} w from documents), b as (select cast(item_id as varchar) item, {words('text')} w from benchmark),
+i as (select distinct item, size, array_to_string(w[p:p + size - 1], ' ') x from (select item, w, least(len(w), {WINDOW}) size, unnest(range(1, len(w) - least(len(w), {WINDOW}) + 2)) p from b where len(w) > 0)),
+s as (select distinct size from i),
+h as (select doc_id, p, i.size, item from (select doc_id, size, p, array_to_string(w[p:p + size - 1], ' ') x from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) p from d, s where len(w) >= size)) v join i on i.size = v.size and i.x = v.x),
+n as (select doc_id, count(distinct q) n_hit from (select doc_id, unnest(range(p, p + size)) q from (select distinct doc_id, p, size from h)) group by doc_id),
+m as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) items from (select distinct doc_id, item from h) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join n using (doc_id) left join m using (doc_id)"""

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, text_of
+from .common import Workspace, fresh, text_of
 from .secrets import let
 
 #: Lines in the rolling hash, mean lines of a chunk, least lines with a word of a chunk that can go.
@@ -118,21 +118,23 @@ def dedup_lines(docs: DataFrame, text: str = "text", id: str = "doc_id", info: s
     work.drop(each, bitmaps, groups, owners)
 
     columns = [c for c in docs.columns if c != info]
-    out = docs.select(*columns, F.xxhash64(text).alias("_hash"))
+    own, new, left_out, i3, h3 = fresh(docs, "_hash", "_new", "_gone", "_i3", "_h3")
+    gone = gone.withColumnsRenamed({"_gone": left_out, "_i3": i3, "_h3": h3})
+    out = docs.select(*columns, F.xxhash64(text).alias(own))
     # gone grows with the input; without a sort, texts are shuffled once and do not spill
-    out = out.join(gone.hint("shuffle_hash"), out[id].eqNullSafe(gone["_i3"]) & (out["_hash"] == gone["_h3"]), "left")
+    out = out.join(gone.hint("shuffle_hash"), out[id].eqNullSafe(gone[i3]) & (out[own] == gone[h3]), "left")
 
     def rebuilt(c: Column) -> Column:
-        parts = F.transform(c, lambda x, j: F.struct(x["n"].alias("n"), F.when(F.coalesce(F.array_contains("_gone", j), F.lit(False)), F.lit(None)).otherwise(x["text"]).alias("text")))
+        parts = F.transform(c, lambda x, j: F.struct(x["n"].alias("n"), F.when(F.coalesce(F.array_contains(left_out, j), F.lit(False)), F.lit(None)).otherwise(x["text"]).alias("text")))
         total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"])
         removed = lambda p: F.filter(p, lambda x: x["text"].isNull())
         return let(parts, lambda p: F.struct(
             F.array_join(F.transform(F.filter(p, lambda x: x["text"].isNotNull()), lambda x: x["text"]), "\n").alias("text"),
             total(p).alias("n_lines"), F.size(p).cast("bigint").alias("n_chunks"), total(removed(p)).alias("removed_lines"), F.size(removed(p)).cast("bigint").alias("removed_chunks")))
 
-    out = out.withColumn("_new", let(chunks(text_of(text)), rebuilt))
-    kept = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.col("_new.text"))
-    return out.select(*[kept.alias(c) if c == text else F.col(c) for c in columns], F.struct("_new.n_lines", "_new.n_chunks", "_new.removed_lines", "_new.removed_chunks").alias(info))
+    out = out.withColumn(new, let(chunks(text_of(text)), rebuilt))
+    kept = F.when(F.col(left_out).isNull(), F.col(text)).otherwise(F.col(f"{new}.text"))
+    return out.select(*[kept.alias(c) if c == text else F.col(c) for c in columns], F.struct(*[f"{new}.{x}" for x in ("n_lines", "n_chunks", "removed_lines", "removed_chunks")]).alias(info))
 
 
 def sql() -> str:

@@ -149,14 +149,15 @@ def judged(measured: DataFrame, limits: DataFrame, m: str, group: tuple[str, ...
     """``measured`` and columns base_failed, kept."""
     on = F.lit(True)
     keys = [f"g{i}" for i in range(len(group))]
-    limits = limits.select(*[F.col(k).alias(f"_fence_{k}") for k in keys], F.col("fence").alias("_fence"))
-    for c, k in zip(group, keys, strict=True):
-        on = on & F.col(c).eqNullSafe(F.col(f"_fence_{k}"))
-    columns = measured.columns
-    joined = measured.join(limits, on, "left").withColumn("_failed", base_failed(m))
-    over = F.exists(F.arrays_zip(buckets(m).alias("b"), F.col("_fence").alias("f")), lambda x: x["b"] > x["f"])
-    kept = ~F.col("_failed") & ~F.coalesce(over, F.lit(False))
-    return joined.select(*columns, F.col("_failed").alias("base_failed"), kept.alias("kept"))
+    columns = [c for c in measured.columns if c not in ("base_failed", "kept")]
+    fence, *names = fresh(measured, "_fence", *[f"_fence_{k}" for k in keys])
+    limits = limits.select(*[F.col(k).alias(name) for k, name in zip(keys, names, strict=True)], F.col("fence").alias(fence))
+    for c, name in zip(group, names, strict=True):
+        on = on & F.col(c).eqNullSafe(F.col(name))
+    joined = measured.join(limits, on, "left")
+    over = F.exists(F.arrays_zip(buckets(m).alias("b"), F.col(fence).alias("f")), lambda x: x["b"] > x["f"])
+    kept = ~base_failed(m) & ~F.coalesce(over, F.lit(False))
+    return joined.select(*columns, base_failed(m).alias("base_failed"), kept.alias("kept"))
 
 
 def quality(docs: DataFrame, text: str = "text", group: tuple[str, ...] = GROUP, keep: list[str] | None = None) -> DataFrame:
@@ -176,4 +177,6 @@ def filter_quality(docs: DataFrame, text: str = "text", group: tuple[str, ...] =
     first = work.table(docs.select(*group, measures(text_of(text)).alias(m)))
     limits = work.table(fences(first, m, group))
     measured = docs.withColumn(m, measures(text_of(text)))
-    return judged(measured, limits, m, group).where("kept").select(*docs.columns)
+    mine = {c: name for c, name in zip(("base_failed", "kept"), fresh(measured, "_base_failed", "_kept"), strict=True) if c in docs.columns}
+    out = judged(measured.withColumnsRenamed(mine), limits, m, tuple(mine.get(c, c) for c in group)).where("kept").drop("base_failed", "kept")
+    return out.withColumnsRenamed({name: c for c, name in mine.items()}).select(*docs.columns)

@@ -40,7 +40,7 @@ def op3_toxicity(spark, sf_dir):
 
 @query(secrets.sql())
 def op4_secrets(spark, sf_dir):
-    out = secrets.find_secrets(scan(spark, sf_dir, "documents"))
+    out = secrets.find_secrets(scan(spark, sf_dir, "documents"), repository=F.md5(F.coalesce("text", F.lit(""))))
     count = lambda test: F.size(F.filter("found", test)).cast("bigint")
     n = lambda kind: count(lambda s: s["kind"] == kind).alias(f"n_{kind}")
     return out.select(
@@ -75,7 +75,7 @@ def op8_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(scan(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query()
+@query(decontaminate.sql())
 def op9_decontamination(spark, sf_dir):
     docs = scan(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.decontaminate(docs, scan(spark, sf_dir, "benchmark"))

@@ -26,8 +26,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Workspace, fresh, text_of
 
@@ -334,10 +335,16 @@ def _later(batches):
         yield batch.take(pa.array(keep, pa.int64())).select(["id", "hash", "a", "b"])
 
 
+def number_of(docs: DataFrame, id: str) -> Column:
+    """The id as a long, the least one for null. Ids that are no whole numbers are ordered by a hash of theirs."""
+    whole = isinstance(docs.schema[id].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    return F.coalesce(F.col(id).cast("bigint") if whole else F.when(F.col(id).isNotNull(), F.xxhash64(id)), F.lit(_NO_ID))
+
+
 def repeated_ranges(docs: DataFrame, text: str, id: str, work: Workspace, group_limit: int = GROUP) -> DataFrame:
     """Byte ranges id, hash, a, b (null ids as the least long) of strings that also start earlier; they may overlap."""
     keyed = docs.select(
-        F.coalesce(F.col(id).cast("bigint"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text_of(text)).alias("hash"), text_of(text).cast("binary").alias("b"))
+        number_of(docs, id).alias("id"), F.xxhash64(text_of(text)).alias("hash"), text_of(text).cast("binary").alias("b"))
     parsed = keyed.mapInPandas(_parse, PARSED)
     order = ["kind", "trigger", "content", "id", "hash", "loc"]
     marked = work.table(parsed.repartition("trigger").sortWithinPartitions(*order).mapInArrow(_distinct, MARKED))
@@ -356,6 +363,8 @@ def dedup_substrings(docs: DataFrame, text: str = "text", id: str = "doc_id", in
     work = Workspace(docs.sparkSession, "substrings")
     ranges = repeated_ranges(docs, text, id, work, group_limit)
     per = work.table(ranges.groupBy("id", "hash").agg(F.collect_list(F.struct("a", "b")).alias("_ranges")).withColumnsRenamed({"id": "_id", "hash": "_hash"}))
+    own_id, own_hash, own_ranges = fresh(docs, "_id", "_hash", "_ranges")
+    per = per.withColumnsRenamed({"_id": own_id, "_hash": own_hash, "_ranges": own_ranges})
 
     @F.pandas_udf("n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
     def cut(texts: pd.Series, ranges: pd.Series) -> pd.DataFrame:
@@ -375,6 +384,6 @@ def dedup_substrings(docs: DataFrame, text: str = "text", id: str = "doc_id", in
 
     columns = [c for c in docs.columns if c != info]
     i, h = fresh(docs.select(*columns), "_i", "_h")
-    out = docs.select(*columns, F.coalesce(F.col(id).cast("bigint"), F.lit(_NO_ID)).alias(i), F.xxhash64(text_of(text)).alias(h))
-    out = out.join(per, (out[i] == per["_id"]) & (out[h] == per["_hash"]), "left")
-    return out.select(*columns, cut.asNondeterministic()(text_of(text).cast("binary"), F.col("_ranges")).alias(info))
+    out = docs.select(*columns, number_of(docs, id).alias(i), F.xxhash64(text_of(text)).alias(h))
+    out = out.join(per, (F.col(i) == F.col(own_id)) & (F.col(h) == F.col(own_hash)), "left")
+    return out.select(*columns, cut.asNondeterministic()(text_of(text).cast("binary"), F.col(own_ranges)).alias(info))

@@ -168,7 +168,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
     known = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull() & ~held_out(id)).select(F.col(id).alias("_id"), F.col(label).cast("int").alias("_y"))
     some = [known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample) for y in (0, 1)]
     chosen = F.broadcast(some[0].union(some[1]).groupBy("_id").agg(F.max("_y").alias("_y")))  # at most 2 * sample ids
-    rows = docs.join(chosen, F.col(id) == F.col("_id")).select(text_of(text).alias("t"), "_y", "_id").collect()
+    rows = docs.select(F.col(id).alias("id"), text_of(text).alias("t")).join(chosen, F.col("id") == F.col("_id")).select("t", "_y", "_id").distinct().collect()
     rows.sort(key=lambda r: (r["_id"], r["t"]))
     return [r["t"] for r in rows], [r["_y"] for r in rows]
 

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Stands between host and path in canonical URLs; the same character inside a URL is replaced.
 SEPARATOR, REPLACEMENT = "\x1f", "\x1e"
 
@@ -172,16 +174,17 @@ def judge(pages: DataFrame, url: str = "url", rules: Sequence[Rule] = RULES, glo
     for rule in sorted(rules, key=lambda r: (-len(r.name), r.name)):
         by_length.append((rule, [len(patterns), len(patterns) + 1]))
         patterns += rule.globs()
-    hits = F.col("_url.hits")
+    (u,) = fresh(pages, "_url")
+    hits = F.col(f"{u}.hits")
     fits = lambda ids: F.arrays_overlap(hits, F.array(*[F.lit(i) for i in ids])) if ids else F.lit(False)
-    canonical = F.concat(F.translate("_url.host", SEPARATOR, REPLACEMENT), F.lit(SEPARATOR), F.translate("_url.path", SEPARATOR, REPLACEMENT))
+    canonical = F.concat(F.translate(F.col(f"{u}.host"), SEPARATOR, REPLACEMENT), F.lit(SEPARATOR), F.translate(F.col(f"{u}.path"), SEPARATOR, REPLACEMENT))
     address = F.coalesce(F.col(url).cast("string"), F.lit(""))
-    out = pages.withColumn("_url", F.struct(host_of(address).alias("host"), path_of(address).alias("path")))
-    out = out.withColumn("_url", F.col("_url").withField("hits", glob_hits(patterns)(canonical)))
+    out = pages.withColumn(u, F.struct(host_of(address).alias("host"), path_of(address).alias("path")))
+    out = out.withColumn(u, F.col(u).withField("hits", glob_hits(patterns)(canonical)))
     rule, verdict = F.lit(None).cast("string"), F.when(fits(allow), "allow").when(fits(block), "block").otherwise("allow")
     for r, ids in reversed(by_length):
         rule, verdict = F.when(fits(ids), r.name).otherwise(rule), F.when(fits(ids), r.action).otherwise(verdict)
-    return out.withColumns({"host": F.col("_url.host"), "path": F.col("_url.path"), "rule": rule, "verdict": verdict}).drop("_url")
+    return out.withColumns({"host": F.col(f"{u}.host"), "path": F.col(f"{u}.path"), "rule": rule, "verdict": verdict}).drop(u)
 
 
 def sql(rules: Sequence[Rule] = RULES, globs: Sequence[tuple[str, str, str]] = GLOBS) -> str:
