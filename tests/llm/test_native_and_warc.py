@@ -65,22 +65,40 @@ def test_arc_versions_and_conversion(spark, tmp_path):
 
 
 def brute_removed(docs):
-    """Lines in chunks that occur earlier, by id."""
+    """Lines of chunks that occur earlier, by id; neighbouring chunks share a line."""
     seen, out = set(), {}
     for id, text in docs:
-        lines, chunk, out[id] = text.split("\n"), [], 0
+        lines, gone, first = text.split("\n"), set(), 0
         h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
-        for i, line in enumerate(lines):
-            chunk.append(line)
+        for i in range(len(lines)):
             rolled = sum(h[i - b] * line_dedup.BASE**b for b in range(line_dedup.WIDTH) if i >= b) % line_dedup.PRIME
-            if rolled % line_dedup.MEAN == 0 or i == len(lines) - 1:
+            if rolled % line_dedup.MEAN == 0 or i == len(lines) - 1 or i and h[i] == h[i - 1]:
+                chunk = tuple(lines[first : i + 1])
                 if sum(bool(x.strip()) for x in chunk) >= line_dedup.LEAST_LINES:
-                    out[id] += len(chunk) if tuple(chunk) in seen else 0
-                    seen.add(tuple(chunk))
-                chunk = []
+                    if chunk in seen:
+                        gone.update(range(first, i + 1))
+                    seen.add(chunk)
+                first = i
+        out[id] = len(gone)
     return out
 
 
+def test_line_dedup_short_passages(spark):
+    """Of passages of two to six lines in two documents each most lose lines, and a run of equal lines goes but for its first ones."""
+    docs, lost = [], 0
+    for n in range(2, 7):
+        for k in range(40):
+            passage = [f"passage {n} {k} line {i}" for i in range(n)]
+            docs += ["\n".join([f"doc {n} {k} {half} before", *passage, f"doc {n} {k} {half} after"]) for half in (0, 1)]
+    docs += ["\n".join(["the same"] * 40), "\n".join(["the same"] * 41)]
+    rows = list(enumerate(docs))
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {i: r.line_dedup.removed_lines for i, r in got.items()} == brute_removed(rows)
+    lost = [got[i].line_dedup.removed_lines > 0 for i in range(1, 400, 2)]
+    assert sum(lost) > 110 and all(got[i].text == docs[i] for i in range(0, 400, 2))
+    assert got[400].line_dedup.removed_lines >= 38 and got[401].line_dedup.removed_lines == 41
+
+
 def test_line_dedup_removes_and_keeps(spark, odd_docs, no_docs):
     passage = "\n".join(f"shared line number {i} of the passage" for i in range(40))
     own = lambda name: "\n".join(f"{name} has its own line {i}" for i in range(12))
@@ -103,7 +121,7 @@ def test_line_dedup_with_clashing_hashes(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(60)
     rows = lambda: sorted(map(repr, line_dedup.dedup_lines(docs).collect()))
     want = rows()
-    monkeypatch.setattr(line_dedup, "FILTER_BITS", 1 << 15)
+    monkeypatch.setattr(line_dedup, "FILTER_BITS", 15)
     assert rows() == want
     monkeypatch.setattr(line_dedup, "chunk_hash", lambda t: line_dedup.F.length(t).cast("bigint") % 7 - 3)
     assert rows() == want

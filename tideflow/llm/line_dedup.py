@@ -1,9 +1,11 @@
 """Line dedup by content-defined chunks of lines, in DataFrame functions only.
 
-A rolling hash over the hashes of the last ``WIDTH`` lines chooses chunk ends, so boundaries
-depend on nearby lines alone and resynchronise after insertions. A chunk of at least
+A rolling hash over the hashes of the last ``WIDTH`` lines chooses boundary lines, so these
+depend on nearby lines alone and resynchronise after insertions; a line equal to the one before it is one as well, so
+no run of a line is one long chunk. A chunk is what lies between two boundary lines, with both of them: neighbours
+share a line, so every chunk has two lines or more and a short repeated passage holds whole chunks. A chunk of at least
 ``LEAST_LINES`` lines with a word whose bytes occur earlier in the corpus (smaller id, or
-earlier in the same document) is removed. Hashes only choose candidates: texts whose hash
+earlier in the same document) is removed, that is, all its lines go. Hashes only choose candidates: texts whose hash
 repeats are grouped by their bytes, and where all bytes of a hash are equal, it stands for them.
 
 Null texts count as empty and stay null if nothing is removed from them. Rows with equal id and
@@ -16,13 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, fresh, text_of
+from .common import Workspace, bitmaps, fresh, maybe, text_of
 from .secrets import let
 
-#: Lines in the rolling hash, mean lines of a chunk, least lines with a word of a chunk that can go.
-WIDTH, MEAN, LEAST_LINES = 3, 4, 2
-#: Bits of the filter of repeated hashes, 32 MB in bitmaps of 32768 bits. It only spares shuffling texts: a full one lets all through.
-FILTER_BITS = 1 << 28
+#: Lines in the rolling hash, mean lines between boundaries, least lines with a word of a chunk that can go.
+WIDTH, MEAN, LEAST_LINES = 2, 2, 2
+#: Power of two of bits that the filter of repeated hashes has at most (128 MB). It only spares shuffling texts: a full one lets all through.
+FILTER_BITS = 30
 BASE, PRIME = 131, 2_147_483_647
 
 
@@ -32,7 +34,7 @@ def line_hashes(lines: Column) -> Column:
 
 
 def ends(hashes: Column) -> Column:
-    """Indices of the last lines of chunks."""
+    """Indices of the boundary lines, the last line included."""
 
     def rolling(i: Column) -> Column:
         out = F.lit(0).cast("bigint")
@@ -41,52 +43,41 @@ def ends(hashes: Column) -> Column:
         return out
 
     last = F.size(hashes) - 1
-    return F.filter(F.sequence(F.lit(0), last), lambda i: (rolling(i) % MEAN == 0) | (i == last))
+    again = lambda i: (i > 0) & (F.get(hashes, i) == F.get(hashes, i - 1))
+    return F.filter(F.sequence(F.lit(0), last), lambda i: (rolling(i) % MEAN == 0) | again(i) | (i == last))
 
 
 def chunk_hash(text: Column) -> Column:
     return F.xxhash64(text)
 
 
+def lined(text: Column, body) -> Column:
+    """``body`` of a struct of the text's lines and its boundary lines' indices (ends)."""
+    with_ends = lambda lines: F.struct(lines.alias("lines"), let(line_hashes(lines), ends).alias("ends"))
+    return let(let(F.split(text, "\n", -1), with_ends), body)
+
+
 def chunks(text: Column) -> Column:
-    """Array of (first, n, hash, text) of the chunks; hash is null where a chunk has too few lines with a word."""
+    """Array of (hash, text) of the chunks; hash is null where a chunk has too few lines with a word."""
 
     def cut(x: Column) -> Column:
         lines, e = x["lines"], x["ends"]
 
         def one(j: Column) -> Column:
-            first = F.when(j > 0, F.get(e, j - 1) + 1).otherwise(0)
+            first = F.when(j > 0, F.get(e, j - 1)).otherwise(0)
             own = F.slice(lines, first + 1, F.get(e, j) - first + 1)
             return let(own, lambda o: let(F.array_join(o, "\n"), lambda t: F.struct(
-                first.alias("first"), F.size(o).alias("n"),
                 F.when(F.size(F.filter(o, lambda line: F.rlike(line, F.lit(r"[^\x20\x09-\x0D]")))) >= LEAST_LINES, chunk_hash(t)).alias("hash"), t.alias("text"))))
 
         return F.transform(F.sequence(F.lit(0), F.size(e) - 1), one)
 
-    with_ends = lambda lines: F.struct(lines.alias("lines"), let(line_hashes(lines), ends).alias("ends"))
-    return let(let(F.split(text, "\n", -1), with_ends), cut)
-
-
-def places(h: Column) -> tuple[Column, Column]:
-    """Bitmap and bit of a hash in the filter."""
-    at = F.pmod(h, F.lit(FILTER_BITS))
-    return F.shiftright(at, 15).alias("_bucket"), at.bitwiseAND(32767).alias("_bit")
+    return lined(text, cut)
 
 
 def repeated(hashes: DataFrame, work: Workspace) -> DataFrame:
-    """Bitmaps (_bucket, _bits) of the values of ``h`` that occur twice or more: at most ``FILTER_BITS`` bits, however many rows."""
+    """A filter of the values of ``h`` that occur twice or more, sized by their number."""
     often = hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    # dealt by bitmap first, so that no task holds partial copies of all of them
-    bits = often.select(*places(F.col("h"))).repartition("_bucket")
-    return work.table(bits.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits")))
-
-
-def maybe(df: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose ``h`` is in the filter: all that repeat, and a share of others that grows with its load."""
-    bucket, bit = places(F.col("h"))
-    near = df.withColumns({"_own": bucket, "_bit": bit}).join(F.broadcast(bitmaps), F.col("_own") == F.col("_bucket"))
-    byte = F.conv(F.hex(F.substring("_bits", F.shiftright("_bit", 3) + 1, 1)), 16, 10).cast("int")
-    return near.where(F.getbit(byte, F.col("_bit").bitwiseAND(7).cast("int")) == 1).select(*df.columns)
+    return bitmaps(often, work, FILTER_BITS)
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", id: str = "doc_id", info: str = "line_dedup") -> DataFrame:
@@ -124,15 +115,23 @@ def dedup_lines(docs: DataFrame, text: str = "text", id: str = "doc_id", info: s
     # gone grows with the input; without a sort, texts are shuffled once and do not spill
     out = out.join(gone.hint("shuffle_hash"), out[id].eqNullSafe(gone[i3]) & (out[own] == gone[h3]), "left")
 
-    def rebuilt(c: Column) -> Column:
-        parts = F.transform(c, lambda x, j: F.struct(x["n"].alias("n"), F.when(F.coalesce(F.array_contains(left_out, j), F.lit(False)), F.lit(None)).otherwise(x["text"]).alias("text")))
-        total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"])
-        removed = lambda p: F.filter(p, lambda x: x["text"].isNull())
-        return let(parts, lambda p: F.struct(
-            F.array_join(F.transform(F.filter(p, lambda x: x["text"].isNotNull()), lambda x: x["text"]), "\n").alias("text"),
-            total(p).alias("n_lines"), F.size(p).cast("bigint").alias("n_chunks"), total(removed(p)).alias("removed_lines"), F.size(removed(p)).cast("bigint").alias("removed_chunks")))
+    def rebuilt(x: Column) -> Column:
+        lines, e = x["lines"], x["ends"]
+        goes = lambda j: F.coalesce(F.array_contains(left_out, j), F.lit(False))
+
+        def kept_lines(j: Column) -> Column:
+            """Of chunk j the lines after the boundary line that the chunk before it has, and without its own if that or the next one goes."""
+            first, end = F.when(j > 0, F.get(e, j - 1) + 1).otherwise(0), F.get(e, j)
+            n = end - first + F.when(goes(j + 1), 0).otherwise(1)
+            return F.when(goes(j), F.slice(lines, 1, 0)).otherwise(F.slice(lines, first + 1, n))
+
+        def told(kept: Column) -> Column:
+            n, gone_chunks = F.size(lines).cast("bigint"), F.when(F.col(left_out).isNull(), 0).otherwise(F.size(left_out)).cast("bigint")
+            return F.struct(F.array_join(kept, "\n").alias("text"), n.alias("n_lines"), F.size(e).cast("bigint").alias("n_chunks"), (n - F.size(kept)).alias("removed_lines"), gone_chunks.alias("removed_chunks"))
+
+        return let(F.flatten(F.transform(F.sequence(F.lit(0), F.size(e) - 1), kept_lines)), told)
 
-    out = out.withColumn(new, let(chunks(text_of(text)), rebuilt))
+    out = out.withColumn(new, lined(text_of(text), rebuilt))
     kept = F.when(F.col(left_out).isNull(), F.col(text)).otherwise(F.col(f"{new}.text"))
     return out.select(*[kept.alias(c) if c == text else F.col(c) for c in columns], F.struct(*[f"{new}.{x}" for x in ("n_lines", "n_chunks", "removed_lines", "removed_chunks")]).alias(info))
 
@@ -144,9 +143,12 @@ def sql() -> str:
         rolled += f" + coalesce(lag(h, {back}) over w, 0) * {BASE ** back}"
     return rf"""with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) i from documents),
 h as (select doc_id, i, line, ('0x' || substr(md5(line), 1, 7))::bigint h from l),
-b as (select doc_id, i, line, case when (({rolled}) % {PRIME}) % {MEAN} = 0 then 1 else 0 end e from h window w as (partition by doc_id order by i)),
-c as (select doc_id, i, line, coalesce(sum(e) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) j from b),
-k as (select doc_id, j, count(*) n, string_agg(line, chr(10) order by i) t, count(*) filter (regexp_matches(line, '[^\x20\x09-\x0D]')) words from c group by doc_id, j),
-o as (select *, words >= {LEAST_LINES} and row_number() over (partition by t order by doc_id, j) > 1 gone from k)
-select doc_id, cast(sum(n) as bigint) n_lines, count(*) n_chunks, cast(coalesce(sum(n) filter (gone), 0) as bigint) removed_lines, count(*) filter (gone) removed_chunks,
-sha256(coalesce(string_agg(t, chr(10) order by j) filter (not gone), '')) kept_sha256 from o group by doc_id"""
+b as (select doc_id, i, line, case when (({rolled}) % {PRIME}) % {MEAN} = 0 or h = lag(h) over w then 1 else 0 end e, lead(i) over w is null last from h window w as (partition by doc_id order by i)),
+c as (select doc_id, i, line, e, last, coalesce(sum(e) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) j from b),
+x as (select doc_id, i, line, j from c union all select doc_id, i, line, j + 1 from c where e = 1 and not last),
+k as (select doc_id, j, string_agg(line, chr(10) order by i) t, count(*) filter (regexp_matches(line, '[^\x20\x09-\x0D]')) words from x group by doc_id, j),
+o as (select doc_id, j, words >= {LEAST_LINES} and row_number() over (partition by t order by doc_id, j) > 1 gone from k),
+g as (select doc_id, i, any_value(line) line, bool_or(gone) gone from x join o using (doc_id, j) group by doc_id, i),
+n as (select doc_id, count(*) n_chunks, count(*) filter (gone) removed_chunks from o group by doc_id)
+select doc_id, count(*) n_lines, any_value(n_chunks) n_chunks, count(*) filter (gone) removed_lines, any_value(removed_chunks) removed_chunks,
+sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) kept_sha256 from g join n using (doc_id) group by doc_id"""
