@@ -65,6 +65,11 @@ def test_arc_versions_and_conversion(spark, tmp_path):
 
 
 def brute_removed(docs):
+    """Number of lines that go, by id."""
+    return {id: len(gone) for id, gone in brute_gone(docs).items()}
+
+
+def brute_gone(docs):
     """Lines of chunks that occur earlier, by id; neighbouring chunks share a line."""
     seen, out = set(), {}
     for id, text in docs:
@@ -79,7 +84,7 @@ def brute_removed(docs):
                         gone.update(range(first, i + 1))
                     seen.add(chunk)
                 first = i
-        out[id] = len(gone)
+        out[id] = gone
     return out
 
 

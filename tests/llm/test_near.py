@@ -6,8 +6,14 @@ import random
 import numpy as np
 import pytest
 
+import zlib
+from collections import defaultdict
+
 import corpus_pipeline
-from tideflow.llm import near_dedup, queries
+from tideflow.llm import near_dedup, packing, quality, queries
+
+from .test_native_and_warc import brute_gone
+from .test_text_rules import brute_contamination
 
 
 def shingles(t):
@@ -177,6 +183,114 @@ def test_reordered_and_repeated_copies(spark):
     assert {r.id: r.class_id for r in near_dedup.near_duplicates(frame).collect()} == dict(enumerate(want))
 
 
+def test_recall_of_candidates():
+    """Of linkable pairs, edited or reordered ones, nearly all share a sketch or a band."""
+    rng, linkable, found = random.Random(17), 0, 0
+    for n in (40, 120, 300, 1000):
+        for rate in (0.002, 0.005, 0.01, 0.015, 0.02, 0.025, 0.03):
+            for _ in range(25):
+                a = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+                b = [f"x{rng.randrange(10**6)}" if rng.random() < rate else w for w in a]
+                if rng.random() < 0.3:
+                    cut = rng.randrange(n)
+                    b = b[cut:] + b[:cut]
+                if near_dedup.shingle_similarity(" ".join(a), " ".join(b)) >= 0.8:
+                    keys = [set(np.concatenate((near_dedup.sketches(near_dedup.kmers(w)), near_dedup.bands(near_dedup.distinct(w)))).tolist()) for w in (a, b)]
+                    linkable, found = linkable + 1, found + bool(keys[0] & keys[1])
+    assert linkable > 400 and found >= 0.99 * linkable
+
+
+def brute_classes(texts):
+    pairs = itertools.combinations(range(len(texts)), 2)
+    return partition(len(texts), [(i, j) for i, j in pairs if texts[i] == texts[j] or near_dedup.shingle_similarity(texts[i], texts[j]) >= 0.8])
+
+
+def test_query_against_brute_force(spark, sf_dir, documents):
+    docs = documents.sort_values("doc_id")
+    ids = docs.doc_id.tolist()
+    want = {ids[i]: ids[c] for i, c in enumerate(brute_classes(docs.text.fillna("").tolist()))}
+    got = {r.doc_id: r.class_id for r in queries.QUERIES["op10_near_dedup"](spark, sf_dir).collect()}
+    assert got == want and any(i != c for i, c in want.items())
+
+
+def brute_kept(docs):
+    """Verdicts of the quality rules: rows (lang, source, text)."""
+    rows, metrics = [], list(quality.METRICS.values())
+    for lang, source, text in docs:
+        m = dict(zip(quality.MEASURES, quality.measure(text or ""), strict=True))
+        ratio = lambda a, b: m[a] * 1000 // max(m[b], 1)
+        raw = [ratio("n_symbols", "n_words"), ratio("n_marks", "n_words"), ratio("n_capitals", "word_chars"), ratio("word_chars", "n_words"), ratio("n_dup_lines", "n_lines"), ratio("n_repeat_words", "n_words")]
+        failed = m["n_words"] < 10 or 100 * m["n_repeat_words"] > 20 * m["n_words"]
+        rows.append((lang, source, failed, [x - x % (1 << max(x.bit_length() - quality.BITS, 0)) for x in raw]))
+
+    def quartiles(values):
+        s = sorted(values)
+        at = lambda q: next(x for i, x in enumerate(s) if 100 * (i + 1) >= q * len(s))
+        return len(s), at(25), at(75)
+
+    groups = defaultdict(list)
+    for lang, source, failed, b in rows:
+        if not failed:
+            for key in ((), (lang,), (lang, source)):
+                groups[key].append(b)
+    out = []
+    for lang, source, failed, b in rows:
+        over = False
+        for k, margin in enumerate(metrics if not failed else ()):
+            _, lo, hi = quartiles([x[k] for x in groups[()]])
+            for key in ((lang,), (lang, source)):
+                n, a, z = quartiles([x[k] for x in groups[key]])
+                lo, hi = ((n * own + quality.PRIOR * up) / (n + quality.PRIOR) for own, up in ((a, lo), (z, hi)))
+            over |= b[k] > hi + max(quality.SPREAD * (hi - lo), margin)
+        out.append(not failed and not over)
+    return out
+
+
+def test_quality_verdicts_against_brute_force(spark, sf_dir, documents):
+    got = {r.doc_id: r.kept for r in queries.QUERIES["op6_quality_rules"](spark, sf_dir).collect()}
+    want = brute_kept(documents[["lang", "source", "text"]].itertuples(index=False, name=None))
+    assert got == dict(zip(documents.doc_id.tolist(), want, strict=True)) and 0 < sum(want) < len(want)
+    han = [("zh", "s", " ".join(["漢" * (28 + i % 5)] * 3 + [f"字{j}" * 15 + str(i) for j in range(12)])) for i in range(300)]
+    han.append(("zh", "s", " ".join(f"長{i}" * 900 for i in range(12))))
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(han)], "doc_id bigint, lang string, source string, text string")
+    assert {r.doc_id for r in quality.filter_quality(frame).select("doc_id").collect()} == {i for i, k in enumerate(brute_kept(han)) if k} and not brute_kept(han)[-1]
+
+
+def test_pipeline_against_brute_force(spark, sf_dir, documents):
+    """All stages by plain Python: the same pieces of the same texts."""
+    import pandas as pd
+
+    docs = documents.sort_values("doc_id")
+    kept = brute_kept(docs[["lang", "source", "text"]].itertuples(index=False, name=None))
+    rows = [(i, t or "") for i, t, k in zip(docs.doc_id.tolist(), docs.text.tolist(), kept, strict=True) if k]
+    gone = brute_gone(rows)
+    rows = [(i, "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i])) for i, t in rows]
+    classes = brute_classes([t for _, t in rows])
+    rows = [r for n, r in enumerate(rows) if classes[n] == n]
+    bench = list(pd.read_parquet(f"{sf_dir}/benchmark.parquet").itertuples(index=False, name=None))
+    rows = [(i, t) for i, t in rows if not brute_contamination(t, bench)[1]]
+    tokenizer, want = packing.WordTokenizer(packing.default_tokenizer()), []
+    for i, t in rows:
+        ids = tokenizer.encode(t) + (1).to_bytes(4, "little")
+        want += [(i, p, zlib.crc32(ids[at : at + 4 * 4096])) for p, at in enumerate(range(0, len(ids), 4 * 4096))]
+    got = corpus_pipeline.run(spark, sf_dir).select("doc_id", "piece", "ids_crc32").collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_stages_on_odd_tables(spark, sf_dir, odd_docs, no_docs):
+    """Empty tables, and null, empty and repeated rows with columns whose names operators might use."""
+    names = ["_url", "_new", "_gone", "_hash", "_failed", "_fence", "_k", "_n", "_l", "_s", "_id", "_y", "_ranges", "base_failed", "kept", "contamination", "node", "component", "h"]
+    wide = odd_docs.withColumn("n_chars", near_dedup.F.length("text").cast("bigint"))
+    for c in names:
+        wide = wide.withColumn(c, near_dedup.F.lit(c))
+    for docs in (no_docs, wide):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, sf_dir)
+            assert out.columns == docs.columns, name
+            assert out.count() <= docs.count() and all(r[c] == c for r in out.collect() for c in names if c in docs.columns), name
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() >= docs.count()
+
+
 def test_query_covers_all_rows(spark, sf_dir, documents):
     got = queries.QUERIES["op10_near_dedup"](spark, sf_dir).toPandas()
     assert sorted(got.doc_id) == sorted(documents.doc_id)

@@ -163,13 +163,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_te
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs`` and a struct ``contamination`` of n_words, spans (hit word ranges), items (ids as strings) and n_hit.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, info: str = "contamination") -> DataFrame:
+    """``docs`` and a struct ``info`` of n_words, spans (hit word ranges), items (ids as strings) and n_hit.
 
     Only texts with hits, and as many others as a filter lets through, are shuffled.
     """
     work = Workspace(docs.sparkSession, "decontaminate")
-    docs = docs.drop("contamination")
+    docs = docs.drop(info)
     found = hits(docs, benchmark, text, item_id, item_text, window, work)
     there = bitmaps(found.select(F.xxhash64("digest").alias("h")), work)
     digest, key, flag, mine, spans, items = fresh(docs, "_digest", "_key", "_flag", "_mine", "_spans", "_items")
@@ -181,7 +181,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     both = none.unionByName(some.drop(mine))
     out = both.withColumns({spans: F.coalesce(spans, F.expr("cast(array() as array<struct<start: int, end: int>>)")), items: F.coalesce(items, F.expr("cast(array() as array<string>)"))})
     n_hit = F.aggregate(spans, F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"])
-    return out.select(*docs.columns, F.struct(F.pandas_udf(_n_words, "bigint")(text_of(text)).alias("n_words"), F.col(spans).alias("spans"), F.col(items).alias("items"), n_hit.alias("n_hit")).alias("contamination"))
+    return out.select(*docs.columns, F.struct(F.pandas_udf(_n_words, "bigint")(text_of(text)).alias("n_words"), F.col(spans).alias("spans"), F.col(items).alias("items"), n_hit.alias("n_hit")).alias(info))
 
 
 def sql() -> str:

@@ -112,8 +112,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", id: str = "doc_id", info: s
     own, new, left_out, i3, h3 = fresh(docs, "_hash", "_new", "_gone", "_i3", "_h3")
     gone = gone.withColumnsRenamed({"_gone": left_out, "_i3": i3, "_h3": h3})
     out = docs.select(*columns, F.xxhash64(text).alias(own))
-    # gone grows with the input; without a sort, texts are shuffled once and do not spill
-    out = out.join(gone.hint("shuffle_hash"), out[id].eqNullSafe(gone[i3]) & (out[own] == gone[h3]), "left")
+    # gone grows with the input: a join that can spill
+    out = out.join(gone.hint("merge"), out[id].eqNullSafe(gone[i3]) & (out[own] == gone[h3]), "left")
 
     def rebuilt(x: Column) -> Column:
         lines, e = x["lines"], x["ends"]
