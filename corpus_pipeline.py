@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideflow.llm.common import Workspace, scan
+from tideflow.llm.common import Workspace, fresh, scan
 from tideflow.llm.decontaminate import decontaminate
 from tideflow.llm.line_dedup import dedup_lines
 from tideflow.llm.near_dedup import keep_one
@@ -24,7 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the chunks of lines that occur earlier; n_chars follows the text."""
-    out = dedup_lines(docs, info="_lines").drop("_lines")
+    (info,) = fresh(docs, "_lines")
+    out = dedup_lines(docs, info=info).drop(info)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
@@ -35,8 +36,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
-    out = decontaminate(docs, scan(spark, sf_dir, "benchmark"))
-    return out.where("contamination.n_hit = 0").select(*docs.columns)
+    (info,) = fresh(docs, "_contamination")
+    out = decontaminate(docs, scan(spark, sf_dir, "benchmark"), info=info)
+    return out.where(F.col(f"{info}.n_hit") == 0).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
