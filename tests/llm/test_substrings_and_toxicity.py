@@ -73,6 +73,16 @@ def test_substrings_odd_rows(spark, odd_docs, no_docs):
     assert suffix_dedup.dedup_substrings(no_docs).count() == 0
 
 
+def test_substrings_of_string_ids_and_clashing_names(spark):
+    passage = "a passage that is longer than one hundred bytes " * 4
+    rows = [("x1", "first " + passage, "a", "b"), ("x2", "second " + passage, "a", "b"), (None, "no copy", "a", "b")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, _ranges string, _hash string")
+    out = suffix_dedup.dedup_substrings(docs)
+    assert out.columns == [*docs.columns, "repeats"]
+    got = {r.doc_id: r.repeats.n_bytes - len(r.repeats.kept) for r in out.collect()}
+    assert got[None] == 0 and sum(n > 90 for n in got.values()) >= 1 and all(r._hash == "b" for r in out.collect())
+
+
 def test_substrings_query(spark, sf_dir, documents):
     want = brute_repeats(list(documents[["doc_id", "text"]].itertuples(index=False, name=None)))
     got = queries.QUERIES["op5_suffix_dedup"](spark, sf_dir).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
@@ -91,6 +101,9 @@ def test_toxicity_query(spark, documents):
     m = got[got.held_out].merge(labels, on="doc_id")
     assert (m.predicted == m.toxic).mean() > 0.93
     assert m[m.toxic == 1].score.mean() > m[m.toxic == 0].score.mean() + 0.5
+    hit = ((m.predicted == 1) & (m.toxic == 1)).sum()
+    precision, recall = hit / (m.predicted == 1).sum(), hit / (m.toxic == 1).sum()
+    assert precision > 0.8 and recall > 0.5, (precision, recall)
 
 
 def test_toxicity_learns_shared_ngrams():
