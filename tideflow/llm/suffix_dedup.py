@@ -8,11 +8,16 @@ inside phrases of equal trigger.
 
 * The parse: phrases are dealt by trigger and ordered by content hash and place in the corpus.
   All but the first of equal phrases are repeats as a whole. Tasks leave equal phrases of their
-  own out before the shuffle, so one passage that most texts have is a row per batch.
+  own out before the shuffle, so one passage that most texts have is a row per batch. A trigger
+  of more than ``GROUP`` phrases is hot: its phrases are dealt by trigger and content.
 * The dictionary: distinct phrases of one trigger are fetched and the suffixes that start in
   them are sorted by their first ``LENGTH`` bytes and then by corpus order; every suffix that is not
-  the first of its string is a repeat. Suffixes of a trigger with more than ``GROUP`` distinct phrases
-  are dealt by their bytes instead and sorted by Spark.
+  the first of its string is a repeat. The phrases of a hot trigger are sorted in batches, wherever
+  their contents took them; the first suffix of each string in a batch is dealt by its bytes and
+  compared with those of the other batches, so one string that most texts have is a row per batch.
+
+Hot triggers are counted in a pass of its own over the texts, and known by a filter of bounded
+size; a trigger that it takes for hot by mistake is treated alike in all places, hence rightly.
 
 Only hashes, places and the distinct phrases of repeated triggers are shuffled, next to one
 join with the texts for each of the two passes over them.
@@ -30,11 +35,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, fresh, text_of
+from .common import Workspace, bitmaps, fresh, in_bitmaps, text_of
 
 LENGTH, KGRAM = 100, 24
-#: Bytes parsed at once, phrases combined at once, distinct phrases of a trigger and of a batch that are sorted in memory.
-CHUNK, PHRASES, GROUP, BATCH = 1 << 20, 250_000, 20_000, 4_000
+#: Bytes parsed at once, phrases combined at once, phrases of a trigger that is not hot, phrases sorted at once.
+CHUNK, PHRASES, GROUP, BATCH = 1 << 20, 250_000, 1_000, 4_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _NO_ID = -(1 << 63)
@@ -147,6 +152,33 @@ def _parse(frames):
             yield from _combined(found, ids, hashes)
 
 
+def _counted(frames):
+    """Texts to triggers and their numbers of phrases, equal phrases of a batch once."""
+    for frame in frames:
+        found, pieces, held = [], _Pieces(), 0
+        for b in frame["b"]:
+            for c in pieces.add(0, b):
+                found.append(phrases(*c[:3])[3:])
+                held += len(found[-1][0])
+            if held >= PHRASES:
+                yield _per_trigger(found)
+                found, held = [], 0
+        if pieces.parts:
+            found.append(phrases(*pieces.take()[:3])[3:])
+        if found:
+            yield _per_trigger(found)
+
+
+def _per_trigger(found) -> pd.DataFrame:
+    trigger, content = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((content, trigger))
+    trigger, content = trigger[order], content[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (trigger[1:] != trigger[:-1]) | (content[1:] != content[:-1])
+    trigger, n = np.unique(trigger[new], return_counts=True)
+    return pd.DataFrame({"trigger": trigger, "n": n})
+
+
 def _placed(data, begins, lengths, rows, base):
     first, last, at, trigger, content = phrases(data, begins, lengths)
     part = np.searchsorted(begins, first, side="right") - 1
@@ -188,23 +220,24 @@ def union(ids, hashes, start, stop):
     return ids[at], hashes[at], start[at], reach[end]
 
 
-MARKED = "kind tinyint, id bigint, hash bigint, a bigint, b bigint"
+MARKED = "kind tinyint, id bigint, hash bigint, a bigint, b bigint, salt bigint"
 
 
-def _marked(kind: int, ids, hashes, a, b) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(ids), kind, np.int8)), pa.array(ids), pa.array(hashes), pa.array(a), pa.array(b)], names=["kind", "id", "hash", "a", "b"])
+def _marked(kind: int, ids, hashes, a, b, salt=None) -> pa.RecordBatch:
+    salt = np.zeros(len(ids), np.int64) if salt is None else salt
+    arrays = [np.full(len(ids), kind, np.int8), ids, hashes, a, b, salt]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["kind", "id", "hash", "a", "b", "salt"])
 
 
 def _distinct(batches):
-    """Sorted phrases to repeats (kind 1: byte range a to b) and distinct phrases of shared triggers (kind 2: trigger a, place b)."""
-    before = None  # the last phrase's first occurrence: trigger, content, id, hash, loc
+    """Sorted phrases to repeats (kind 1: byte range a to b) and distinct phrases of shared or hot triggers (kind 2: trigger a, place b)."""
+    before = None  # the last phrase's first occurrence: trigger, content, id, hash, loc, salt (of hot triggers, else 0)
     pending, shared = None, False  # a first occurrence whose successor is not known; whether its trigger is its predecessor's
     for batch in batches:
-        kind, *columns = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+        kind, *columns = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
         passed = kind == 1
         if passed.any():
-            _, content, ids, hashes, loc = (c[passed] for c in columns)
+            _, content, ids, hashes, loc, _ = (c[passed] for c in columns)
             yield _marked(1, ids, hashes, content, loc)
         rows = np.stack([c[~passed] for c in columns])
         if not rows.shape[1]:
@@ -227,16 +260,16 @@ def _distinct(batches):
         if pending is not None:
             firsts = np.concatenate((pending[:, None], firsts), 1)
         follows = np.concatenate(([shared], firsts[0, 1:] == firsts[0, :-1]))
-        multi = follows[:-1] | follows[1:]
+        multi = follows[:-1] | follows[1:] | (firsts[5, :-1] != 0)
         if multi.any():
             done = firsts[:, :-1][:, multi]
-            yield _marked(2, done[2], done[3], done[0], done[4])
+            yield _marked(2, done[2], done[3], done[0], done[4], done[5])
         pending, shared = firsts[:, -1].copy(), bool(follows[-1])
-    if pending is not None and shared:
-        yield _marked(2, pending[2:3], pending[3:4], pending[0:1], pending[4:5])
+    if pending is not None and (shared or pending[5]):
+        yield _marked(2, pending[2:3], pending[3:4], pending[0:1], pending[4:5], pending[5:6])
 
 
-FETCHED = "trigger bigint, id bigint, hash bigint, start bigint, bytes binary"
+FETCHED = "trigger bigint, salt bigint, id bigint, hash bigint, start bigint, bytes binary"
 
 
 def _fetch(frames):
@@ -246,12 +279,12 @@ def _fetch(frames):
         for id, hash, b, places in zip(frame["id"], frame["hash"], frame["b"], frame["places"], strict=True):
             for p in places:
                 start, more = p["b"] >> 14, p["b"] & 127
-                out.append((p["a"], id, hash, start, b[start : start + more + LENGTH]))
+                out.append((p["a"], p["salt"], id, hash, start, b[start : start + more + LENGTH]))
                 if len(out) >= 50_000:
-                    yield pd.DataFrame(out, columns=["trigger", "id", "hash", "start", "bytes"])
+                    yield pd.DataFrame(out, columns=["trigger", "salt", "id", "hash", "start", "bytes"])
                     out = []
         if out:
-            yield pd.DataFrame(out, columns=["trigger", "id", "hash", "start", "bytes"])
+            yield pd.DataFrame(out, columns=["trigger", "salt", "id", "hash", "start", "bytes"])
 
 
 RESOLVED = "id bigint, hash bigint, a bigint, b bigint, suffix binary"
@@ -270,56 +303,52 @@ def suffixes(rows: list[tuple]) -> tuple[np.ndarray, ...]:
     return heads, ids[row], hashes[row], starts[row] + within
 
 
-def repeats(rows: list[tuple]) -> tuple[np.ndarray, ...]:
-    """Of the suffixes of phrases, those that are not the first of their LENGTH bytes, as byte ranges."""
+def ordered(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+    """Suffixes of phrases in suffix order, then corpus order: as of ``suffixes``, whether each is the first of its LENGTH bytes, whether it repeats them."""
     heads, ids, hashes, starts = suffixes(rows)
     order = np.lexsort((starts, hashes, ids))
     heads, ids, hashes, starts = heads[order], ids[order], hashes[order], starts[order]
-    ranked = np.argsort(np.ascontiguousarray(heads).view(f"V{LENGTH}")[:, 0], kind="stable")  # the suffix order
+    ranked = np.argsort(np.ascontiguousarray(heads).view(f"V{LENGTH}")[:, 0], kind="stable")
     heads, ids, hashes, starts = heads[ranked], ids[ranked], hashes[ranked], starts[ranked]
-    equal = (heads[1:] == heads[:-1]).all(1)
-    head = np.concatenate(([True], ~equal))
+    head = np.concatenate(([True], (heads[1:] != heads[:-1]).any(1)))
     first = np.flatnonzero(head)[np.cumsum(head) - 1]
     again = ~head & ~((ids == ids[first]) & (hashes == hashes[first]) & (starts == starts[first]))
-    return union(ids[again], hashes[again], starts[again], starts[again] + LENGTH)
-
-
-def _resolve(group_limit: int):
-    def found(rows):
-        ids, hashes, a, b = repeats(rows)
-        return pd.DataFrame({"id": ids, "hash": hashes, "a": a, "b": b, "suffix": pd.Series([None] * len(ids), dtype=object)})
-
-    def spread(rows):
-        heads, ids, hashes, starts = suffixes(rows)
-        return pd.DataFrame({"id": ids, "hash": hashes, "a": starts, "b": starts + LENGTH, "suffix": [h.tobytes() for h in heads]})
-
-    def run(frames):
-        """Phrases sorted by trigger. Whole triggers are collected and sorted; those too large go on as suffixes."""
-        held, current, trigger, large = [], [], None, False
-        for frame in frames:
-            for t, *row in zip(frame["trigger"], frame["id"], frame["hash"], frame["start"], frame["bytes"], strict=True):
-                if t != trigger:
-                    if large and current:
-                        yield spread(current)
-                    elif not large:
-                        held += current
-                    trigger, current, large = t, [], False
-                    if len(held) >= BATCH:
-                        yield found(held)
-                        held = []
-                current.append(tuple(row))
-                if len(current) >= (BATCH if large else group_limit):
-                    large = True
-                    yield spread(current)
-                    current = []
-        if large and current:
-            yield spread(current)
-        elif not large:
-            held += current
-        if held:
-            yield found(held)
-
-    return run
+    return heads, ids, hashes, starts, head, again
+
+
+def _found(rows: list[tuple], hot: bool):
+    """Repeats among the suffixes of phrases as byte ranges; of a hot trigger also the suffixes that others may repeat or come before."""
+    heads, ids, hashes, starts, head, again = ordered(rows)
+    i, h, a, b = union(ids[again], hashes[again], starts[again], starts[again] + LENGTH)
+    yield pd.DataFrame({"id": i, "hash": h, "a": a, "b": b, "suffix": pd.Series([None] * len(i), dtype=object)})
+    if hot:
+        heads, ids, hashes, starts = heads[head], ids[head], hashes[head], starts[head]
+        yield pd.DataFrame({"id": ids, "hash": hashes, "a": starts, "b": starts + LENGTH, "suffix": [x.tobytes() for x in heads]})
+
+
+def _resolve(frames):
+    """Phrases sorted by trigger. Whole triggers are collected and sorted, hot ones in batches as they come."""
+    held, current, trigger, hot = [], [], None, []
+    for frame in frames:
+        for t, salt, *row in zip(frame["trigger"], frame["salt"], frame["id"], frame["hash"], frame["start"], frame["bytes"], strict=True):
+            if salt:
+                hot.append(tuple(row))
+                if len(hot) >= BATCH:
+                    yield from _found(hot, True)
+                    hot = []
+                continue
+            if t != trigger:
+                held += current
+                trigger, current = t, []
+                if len(held) >= BATCH:
+                    yield from _found(held, False)
+                    held = []
+            current.append(tuple(row))
+    held += current
+    if held:
+        yield from _found(held, False)
+    if hot:
+        yield from _found(hot, True)
 
 
 def _later(batches):
@@ -345,12 +374,16 @@ def repeated_ranges(docs: DataFrame, text: str, id: str, work: Workspace, group_
     """Byte ranges id, hash, a, b (null ids as the least long) of strings that also start earlier; they may overlap."""
     keyed = docs.select(
         number_of(docs, id).alias("id"), F.xxhash64(text_of(text)).alias("hash"), text_of(text).cast("binary").alias("b"))
-    parsed = keyed.mapInPandas(_parse, PARSED)
+    counts = keyed.select("b").mapInPandas(_counted, "trigger bigint, n bigint").groupBy("trigger").agg(F.sum("n").alias("n"))
+    hot = bitmaps(counts.where(F.col("n") > group_limit).select(F.col("trigger").alias("h")), work)
+    parsed = in_bitmaps(keyed.mapInPandas(_parse, PARSED), hot, "trigger", "hot")
+    parsed = parsed.withColumn("salt", F.when(F.col("hot"), F.col("content").bitwiseOR(1)).otherwise(0)).drop("hot")
     order = ["kind", "trigger", "content", "id", "hash", "loc"]
-    marked = work.table(parsed.repartition("trigger").sortWithinPartitions(*order).mapInArrow(_distinct, MARKED))
-    places = marked.where("kind = 2").groupBy("id", "hash").agg(F.collect_list(F.struct("a", "b")).alias("places"))
+    dealt = parsed.select(*order, "salt").repartition("trigger", "salt").sortWithinPartitions(*order)
+    marked = work.table(dealt.mapInArrow(_distinct, MARKED))
+    places = marked.where("kind = 2").groupBy("id", "hash").agg(F.collect_list(F.struct("a", "b", "salt")).alias("places"))
     fetched = keyed.join(places, ["id", "hash"]).mapInPandas(_fetch, FETCHED)
-    resolved = work.table(fetched.repartition("trigger").sortWithinPartitions("trigger").mapInPandas(_resolve(group_limit), RESOLVED))
+    resolved = work.table(fetched.repartition("trigger", "salt").sortWithinPartitions("trigger").mapInPandas(_resolve, RESOLVED))
     out = marked.where("kind = 1").select("id", "hash", "a", "b").union(resolved.where("suffix is null").select("id", "hash", "a", "b"))
     if not resolved.where("suffix is not null").isEmpty():
         spread = resolved.where("suffix is not null").repartition("suffix").sortWithinPartitions("suffix", "id", "hash", "a")
@@ -362,7 +395,7 @@ def dedup_substrings(docs: DataFrame, text: str = "text", id: str = "doc_id", in
     """``docs`` and a struct ``info`` of n_bytes, spans (maximal removed byte ranges) and kept (the bytes that are left)."""
     work = Workspace(docs.sparkSession, "substrings")
     ranges = repeated_ranges(docs, text, id, work, group_limit)
-    per = work.table(ranges.groupBy("id", "hash").agg(F.collect_list(F.struct("a", "b")).alias("_ranges")).withColumnsRenamed({"id": "_id", "hash": "_hash"}))
+    per = work.only(ranges.groupBy("id", "hash").agg(F.collect_list(F.struct("a", "b")).alias("_ranges")).withColumnsRenamed({"id": "_id", "hash": "_hash"}))
     own_id, own_hash, own_ranges = fresh(docs, "_id", "_hash", "_ranges")
     per = per.withColumnsRenamed({"_id": own_id, "_hash": own_hash, "_ranges": own_ranges})
 
