@@ -3,7 +3,9 @@
 import gzip
 import hashlib
 import io
+import random
 import re
+import zlib
 
 import duckdb
 import pytest
@@ -39,6 +41,30 @@ def test_warc_pages(spark):
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
+def test_warc_members(spark, tmp_path):
+    """Every record starts a gzip member, files end by bytes, and the last byte of a file is there."""
+    rng = random.Random(4)
+    rows = [(i, f"http://a/{i}", "".join(rng.choice("abcdef<>é") for _ in range(rng.randrange(3000)))) for i in range(300)] + [(300, "x", "q" * 20_000_000)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(2)
+    records = warc.convert(warc.pages_to_arc(pages, "page_id", "url", "html")).where("warc_type != 'warcinfo'")
+    path = str(tmp_path / "warc")
+    warc.write_warc(warc.without_copies(records), path, file_bytes=50_000)
+    files = sorted((tmp_path / "warc").glob("part-*"))
+    starts = 0
+    for file in files:
+        data = file.read_bytes()
+        assert len(data) < 50_000 + 40_000
+        while data:
+            one = zlib.decompressobj(31)
+            block = one.decompress(data) + one.flush()
+            assert one.eof
+            starts += block.startswith(b"WARC/1.1")
+            data = one.unused_data
+    assert len(files) > 4 and starts == len(rows)
+    back = {r.key: r.payload for r in warc.read_warc(spark, path).collect()}
+    assert {k: bytes(v) for k, v in back.items()} == {i: html.encode() for i, _, html in rows}
+
+
 def test_warc_query(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").collect()]
     got = queries.QUERIES["op1_warc"](spark, sf_dir).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()

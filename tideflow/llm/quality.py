@@ -180,3 +180,45 @@ def filter_quality(docs: DataFrame, text: str = "text", group: tuple[str, ...] =
     mine = {c: name for c, name in zip(("base_failed", "kept"), fresh(measured, "_base_failed", "_kept"), strict=True) if c in docs.columns}
     out = judged(measured.withColumnsRenamed(mine), limits, m, tuple(mine.get(c, c) for c in group)).where("kept").drop("base_failed", "kept")
     return out.withColumnsRenamed({name: c for c, name in mine.items()}).select(*docs.columns)
+
+
+def sql() -> str:
+    """The query over documents in DuckDB, for distinct ids."""
+    word = r"[^\x20\x09-\x0D]"
+    taken = lambda chars: f"length(t) - length(translate(t, '{chars.decode()}', ''))"
+    ratios = {
+        "symbols": ("n_symbols", "n_words"), "marks": ("n_marks", "n_words"), "capitals": ("n_capitals", "word_chars"),
+        "chars": ("word_chars", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"),
+    }
+    ratio = ", ".join(f"{a} * 1000 // greatest({b}, 1)" for a, b in (ratios[name] for name in METRICS))
+    levels, blended, joins = [], {end: f"q0.{end}::double" for end in ("lo", "hi")}, []
+    for n in range(len(GROUP) + 1):
+        by = "".join(f"{c}, " for c in GROUP[:n])
+        part = f"partition by {by}metric"
+        levels.append(f"""q{n} as (select {by}metric, max(total) n, min(case when 100 * upto >= 25 * total then bucket end) lo, min(case when 100 * upto >= 75 * total then bucket end) hi
+from (select {by}metric, bucket, sum(sum(c)) over ({part} order by bucket) upto, sum(sum(c)) over ({part}) total from sketch group by {by}metric, bucket) group by {by}metric)""")
+        if n:
+            blended = {end: f"((q{n}.n * q{n}.{end} + {PRIOR} * {up}) / (q{n}.n + {PRIOR}))" for end, up in blended.items()}
+        if n < len(GROUP):
+            on = "".join(f" and q{n}.{c} is not distinct from q{len(GROUP)}.{c}" for c in GROUP[:n])
+            joins.append(f"join q{n} on q{n}.metric = q{len(GROUP)}.metric{on}")
+    last, names = f"q{len(GROUP)}", ", ".join(GROUP)
+    margin = f"list_extract([{', '.join(map(str, METRICS.values()))}], {last}.metric)"
+    same = " and ".join(f"b.{c} is not distinct from l.{c}" for c in GROUP)
+    return rf"""with d as (select doc_id, {names}, coalesce(text, '') t from documents),
+w as (select doc_id, unnest(regexp_extract_all(t, '{word}+')) word, generate_subscripts(regexp_extract_all(t, '{word}+'), 1) i from d),
+x as (select doc_id, i, word{"".join(f" || ' ' || lead(word, {k}) over p" for k in range(1, WINDOW))} g from w window p as (partition by doc_id order by i)),
+y as (select doc_id, i, case when g is not null and count(*) over (partition by doc_id, g) > 1 then 1 else 0 end twice from x),
+z as (select doc_id, max(twice) over (partition by doc_id order by i rows {WINDOW - 1} preceding) hit from y),
+r as (select doc_id, sum(hit)::bigint n_repeat_words from z group by doc_id),
+f as (select *, regexp_extract_all(t, '{word}+') words, list_filter(string_split(t, chr(10)), lambda s: regexp_matches(s, '{word}')) lines from d),
+m as (select doc_id, {names}, len(words) n_words, length(array_to_string(words, '')) word_chars, {taken(_SYMBOLS)} n_symbols, len(lines) - len(list_distinct(lines)) n_dup_lines,
+coalesce(n_repeat_words, 0) n_repeat_words, len(lines) n_lines, {taken(_MARKS)} n_marks, {taken(_CAPITALS)} n_capitals from f left join r using (doc_id)),
+e as (select *, n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATS} * n_words base_failed, [{ratio}] ratios from m),
+b as (select *, list_transform(ratios, lambda x: x - x % (1::bigint << greatest(length(bin(x)) - {BITS}, 0)::bigint)) buckets from e),
+u as (select {names}, unnest(buckets) bucket, generate_subscripts(buckets, 1) metric from b where not base_failed),
+sketch as (select {names}, metric, bucket, count(*) c from u group by {names}, metric, bucket),
+{(","+chr(10)).join(levels)},
+l as (select {", ".join(f"{last}.{c}" for c in GROUP)}, {last}.metric, {blended["lo"]} lo, {blended["hi"]} hi, {margin} margin from {last} {" ".join(joins)}),
+o as (select distinct doc_id from b join l on {same} where list_extract(buckets, metric) > hi + greatest({SPREAD} * (hi - lo), margin))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and doc_id not in (select doc_id from o) kept from b"""

@@ -20,7 +20,7 @@ def query(sql: str | None = None):
     return add
 
 
-@query()
+@query(warc.sql())
 def op1_warc(spark, sf_dir):
     out = warc.archive_pages(scan(spark, sf_dir, "pages"))
     return out.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
@@ -59,7 +59,7 @@ def op5_suffix_dedup(spark, sf_dir):
     )
 
 
-@query()
+@query(quality.sql())
 def op6_quality_rules(spark, sf_dir):
     judged = quality.quality(scan(spark, sf_dir, "documents"), keep=["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -9,7 +9,8 @@ records become revisits that refer to it.
 
 Records of the same key and payload are copies of one record: all are responses if theirs is
 the smallest key. A null key is larger than all others. Null payloads are empty. Archives are
-gzip files written by Spark, so they can live in any store that Spark reaches.
+written by Spark, so they can live in any store that Spark reaches, as gzip members of a record
+each, in files bounded by their bytes; the reader inflates a file record by record.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 LEAST_REVISIT = 100
-#: Bytes of records in one ARC segment, and records in one WARC file.
-SEGMENT_BYTES, FILE_RECORDS = 4 << 20, 10_000
+#: Bytes of records in one ARC segment, compressed bytes after which a WARC file ends, bytes of a record in one gzip member.
+SEGMENT_BYTES, FILE_BYTES, MEMBER_BYTES = 4 << 20, 32 << 20, 8 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FIELDS = {
     1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
@@ -179,7 +180,7 @@ def without_copies(records: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     facts = work.table(records.where("length >= %d and warc_type != 'warcinfo'" % least).select("digest", "key"))
     first = facts.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     revisits = facts.join(first, "digest").where(~F.col("key").eqNullSafe(F.col("first"))).select(F.col("key").alias("_key"), F.col("digest").alias("_digest"), "first").distinct()
-    revisits = work.table(revisits)
+    revisits = work.only(revisits)
     on = records["key"].eqNullSafe(revisits["_key"]) & (records["digest"] == revisits["_digest"])
     return records.join(revisits, on, "left").select(*records.columns, F.col("first").alias("refers_to"))
 
@@ -200,20 +201,34 @@ def warc_record(r: dict) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write_warc(records: DataFrame, path: str, file_records: int = FILE_RECORDS) -> None:
-    """Write records (see ``without_copies``) as gzip WARC files below ``path``.
+def members(record: bytes) -> bytes:
+    """A record as a gzip member of its own; one of more than MEMBER_BYTES as several. The last byte is zero: the top of a length below 16 MB."""
+    pieces = range(0, max(len(record), 1), MEMBER_BYTES)
+    return b"".join(gzip.compress(record[i : i + MEMBER_BYTES], 6, mtime=0) for i in pieces)
 
-    Spark's text writer puts out the records' bytes as they are; its line end is a record's last byte.
+
+def write_warc(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Write records (see ``without_copies``) as WARC files of gzip members below ``path``; a file ends with the record that takes it to ``file_bytes``.
+
+    Spark's text writer puts out the bytes of a file's one row as they are; its line end is the zero byte that ends a member.
     """
 
     def run(frames):
+        parts, size = [], 0
         for frame in frames:
-            yield pd.DataFrame({"value": [warc_record(r)[:-1] for r in frame.to_dict("records")]})
+            for r in frame.to_dict("records"):
+                parts.append(members(warc_record(r)))
+                size += len(parts[-1])
+                if size >= file_bytes:
+                    yield pd.DataFrame({"value": [b"".join(parts)[:-1]]})
+                    parts, size = [], 0
+        if parts:
+            yield pd.DataFrame({"value": [b"".join(parts)[:-1]]})
 
     # keys as text: pandas would make floats of them where there are nulls
     texts = {c: F.col(c).cast("string") for c in ("key", "refers_to")}
     rows = records.withColumns(texts).mapInPandas(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    rows.write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", file_records).text(path)
+    rows.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_warc_stream(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -263,7 +278,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
                 if rows:
                     yield _read_frame(rows)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{txt,gz}").load(path)
     return files.select("content").mapInPandas(run, READ)
 
 
@@ -304,3 +319,11 @@ def archive_pages(pages: DataFrame, key: str = "page_id", url: str = "url", payl
     records = convert(pages_to_arc(pages, key, url, payload)).where("warc_type != 'warcinfo'")
     write_warc(without_copies(records), path)
     return read_warc(spark, path, payloads=False)
+
+
+def sql() -> str:
+    """The query over pages in DuckDB."""
+    return f"""with d as (select page_id, strlen(coalesce(html, '')) n, sha256(coalesce(html, '')) s from pages),
+f as (select s, min(page_id) first from d where n >= {LEAST_REVISIT} group by s)
+select page_id, n payload_bytes, d.s payload_digest, case when first is null or page_id = first then 'response' else 'revisit' end record_type,
+case when page_id <> first then first end refers_to from d left join f on d.s = f.s and n >= {LEAST_REVISIT}"""
