@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideflow import (
-    ArrowProcessor, Configuration, Context, FlowGraph, InputPort, Movement, OutputPort, Processor, ProcessorDefinitionError, RoutingError, ThreadObserver,
+    ArrowProcessor, Configuration, Context, FlowGraph, InputPort, Movement, OutputPort, Processor, ProcessorDefinitionError, RoutingError, StreamProcessor,
+    ThreadObserver,
 )
 from tideflow import logger
 from tideflow.plans.compiler import Compiler
@@ -107,6 +108,34 @@ def test_opaque_processors(spark, pairs):
     assert all(r.ok for r in frames[sums.id, 1].collect())
 
 
+def test_streams(spark):
+    """A key of more rows than a batch arrives in order in several pieces; empty partitions run; a stream needs groups."""
+    class Pieces(StreamProcessor):
+        def __init__(self):
+            super().__init__([InputPort("x", SG, ["v"])], [OutputPort("sizes", schema="n int"), OutputPort("ok", schema="ok boolean")])
+
+        def stream(self, pieces, task):
+            before, n = (-1, -1), 0
+            for port, table in pieces:
+                now = list(zip(table["k"].to_pylist(), table["v"].to_pylist(), strict=True))
+                yield "ok", [{"ok": port == "x" and [before, *now] == sorted([before, *now])}]
+                before, n = now[-1], n + 1
+                yield "sizes", [{"n": table.num_rows}]
+            if not n:
+                yield "sizes", [{"n": 0}]
+
+    g = FlowGraph()
+    src = g.add_vertex("src", source(spark.range(25_000).select(F.lit(1).alias("k"), F.col("id").alias("v")), "k"))
+    p = g.add_vertex("p", Pieces())
+    g.add_edge(src.output_port(0), p.input_port(0))
+    frames = Compiler(spark, g, partitions=3).compile().frames
+    sizes = sorted(r.n for r in frames[p.id, 0].collect())
+    assert sizes[:2] == [0, 0] and len(sizes) > 3 and sum(sizes) == 25_000
+    assert all(r.ok for r in frames[p.id, 1].collect())
+    with pytest.raises(ProcessorDefinitionError):
+        StreamProcessor([InputPort("x", ONE)])
+
+
 def test_context_runs_sinks_and_profiles(spark, pairs, tmp_path):
     calls = []
 

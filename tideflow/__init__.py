@@ -10,9 +10,9 @@ from .errors import ProcessorDefinitionError, RoutingError
 from .plans.context import Configuration, Context, ThreadObserver
 from .plans.graph import FlowGraph
 from .plans.ports import Grouped, InputPort, Movement, OutputPort
-from .plans.processor import ArrowProcessor, Processor, Task
+from .plans.processor import ArrowProcessor, Processor, StreamProcessor, Task
 
 __all__ = [
     "ArrowProcessor", "Configuration", "Context", "FlowGraph", "Grouped", "InputPort", "Movement",
-    "OutputPort", "Processor", "ProcessorDefinitionError", "RoutingError", "Task", "ThreadObserver",
+    "OutputPort", "Processor", "ProcessorDefinitionError", "RoutingError", "StreamProcessor", "Task", "ThreadObserver",
 ]

@@ -90,9 +90,12 @@ def cogroup_apply(left: DataFrame, right: DataFrame, key: Keys, fn: Callable, sc
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(fn, schema)
 
 
-def per_partition(df: DataFrame, key: Keys, partitions: int, fn: Callable, schema: str, order_by: Sequence[Column | str] = ()) -> DataFrame:
-    """Opaque code once per hash partition, empty ones included: ``fn`` gets an iterator of Arrow batches sorted by key.
+def per_partition(df: DataFrame, key: Keys, partitions: int, fn: Callable, schema: str, order_by: Sequence[Column | str] = (),
+                  ordered: bool = True) -> DataFrame:
+    """Opaque code once per hash partition, empty ones included: ``fn`` gets an iterator of Arrow batches, sorted by key unless
+    ``ordered`` is false; a fold over them holds one value, however large a key is.
 
     A relation that the optimizer proves to be empty is not run at all.
     """
-    return shuffle(df, key, partitions, order_by).mapInArrow(fn, schema)
+    dealt = shuffle(df, key, partitions, order_by) if ordered else df.repartition(partitions, *_keys(key))
+    return dealt.mapInArrow(fn, schema)

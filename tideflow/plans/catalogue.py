@@ -301,7 +301,7 @@ def per_partition_emit(t):
     def run(batches):
         yield pa.RecordBatch.from_pydict({"n": pa.array([sum(b.num_rows for b in batches)], pa.int64())})
 
-    counts = per_partition(t("lineitem").select("l_suppkey"), "l_suppkey", 8, run, "n bigint")
+    counts = per_partition(t("lineitem").select("l_suppkey"), "l_suppkey", 8, run, "n bigint", ordered=False)
     return counts.agg(total("n").alias("rows_seen"), F.count("*").alias("runs"))
 
 

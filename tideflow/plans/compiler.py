@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from copy import copy
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +19,7 @@ from ..operators.joins import checked_broadcast, estimated_bytes
 from ..operators.narrow import unite
 from .graph import FlowGraph, Vertex
 from .ports import Grouped, Movement, same_schema
-from .processor import ArrowProcessor, Processor, Task, Write, emit
+from .processor import ArrowProcessor, Processor, StreamProcessor, Task, Write, emit
 
 #: Opaque code gets a BROADCAST port as an Arrow table; beyond this many estimated bytes it is refused.
 OPAQUE_BROADCAST_LIMIT = 512 << 20
@@ -145,7 +147,9 @@ class Compiler:
         return df.coalesce(processor.max_concurrency) if processor.max_concurrency else df
 
     def _opaque(self, vertex: Vertex, ports: dict[str, Any], broadcasts: dict[str, pa.Table | None]) -> list[DataFrame | None]:
-        processor = vertex.processor
+        # workers get the processor without the ports' orders: columns cannot be shipped
+        processor = copy(vertex.processor)
+        processor.inputs = tuple(replace(p, order_by=()) for p in processor.inputs)
         names = [p.name for p in processor.outputs]
         kind = T.StructType([T.StructField("_port", T.IntegerType())] + [T.StructField(p.name, T.StructType.fromDDL(p.schema)) for p in processor.outputs])
         schema, logical, records, size = to_arrow_schema(kind), vertex.id, self.records, self.size
@@ -177,6 +181,28 @@ class Compiler:
                 processor.thread_local_finalize()
             return run
 
+        def pieces(frames, batches):
+            """Consecutive rows of one port, as they come."""
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                side = batch["_side"].to_numpy()
+                edges = [0, *(np.flatnonzero(side[1:] != side[:-1]) + 1).tolist(), len(side)]
+                for start, stop in zip(edges[:-1], edges[1:], strict=True):
+                    i = side[start]
+                    name, columns = frames[i]
+                    yield name, pa.table({c: batch[f"_{i}_{c}"].slice(start, stop - start) for c in columns})
+
+        def streamed(frames):
+            def run(batches):
+                task = Task(started(), names, logical, TaskContext.get().partitionId())
+                for name, rows in processor.stream(pieces(frames, batches), task):
+                    task.output(name).append(rows)
+                    yield from emit(task, names, schema, records, size)
+                    task.output(name).clear()
+                processor.thread_local_finalize()
+            return run
+
         def partition(frames):
             def run(batches):
                 base, rows = started(), list(batches)
@@ -209,7 +235,8 @@ class Compiler:
             if tagged is not None:
                 keys = [c for c in tagged.columns if c.startswith("_k")]
                 order = [c for c in tagged.columns if c.startswith("_o")]
-                made = [tagged.repartition(n, *keys).sortWithinPartitions(*keys, "_side", *order).mapInArrow(partition(frames), kind)]
+                bodies = streamed if isinstance(processor, StreamProcessor) else partition
+                made = [tagged.repartition(n, *keys).sortWithinPartitions(*keys, "_side", *order).mapInArrow(bodies(frames), kind)]
         else:
             made = [ports[p.name].mapInArrow(narrow(p.name), kind) for p in processor.inputs if p.movement is Movement.ONE_TO_ONE and ports[p.name] is not None]
         if not made:

@@ -23,7 +23,7 @@ class Movement(Enum):
 class InputPort:
     name: str
     movement: Movement = Movement.UNDEFINED
-    #: Order of the values inside a key's group; SCATTER_GATHER only.
+    #: Order of the values inside a key's group, ascending (``-F.col("v")`` for descending numbers); SCATTER_GATHER only.
     order_by: tuple[Column | str, ...] = ()
 
     def __post_init__(self):

@@ -132,6 +132,26 @@ class ArrowProcessor(Processor):
         raise NotImplementedError("the compiler runs opaque code")
 
 
+class StreamProcessor(ArrowProcessor):
+    """Opaque code that reads a partition of SCATTER_GATHER ports as a stream, so neither a partition nor a key need fit in a worker.
+
+    ``stream`` gets an iterator of (port name, Arrow table) over the partition's rows, sorted by key; a key's rows come
+    port by port and then in the port's order, in as many tables as they need. It yields (output port, rows), rows as
+    ``Task.output`` takes them; they are sent on before the next piece is read. It is called for empty partitions too.
+    """
+
+    def __init__(self, inputs: Sequence[InputPort] = (), outputs: Sequence[OutputPort] = (), **settings):
+        super().__init__(inputs, outputs, **settings)
+        if not any(p.movement is Movement.SCATTER_GATHER for p in self.inputs):
+            raise ProcessorDefinitionError("a stream needs a SCATTER_GATHER port")
+
+    def stream(self, pieces: Iterator[tuple[str, pa.Table]], task: Task) -> Iterator[tuple[str, Any]]:
+        raise NotImplementedError
+
+    def run(self, task: Task) -> None:
+        raise NotImplementedError("the compiler calls stream")
+
+
 def emit(task: Task, names: Sequence[str], schema: pa.Schema, records: int | None = None, size: int | None = None) -> Iterator[pa.RecordBatch]:
     """What a run has put out, as batches of (_port, one struct per port) with at most ``records`` rows and about ``size`` bytes."""
     for i, name in enumerate(names):

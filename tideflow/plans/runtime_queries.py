@@ -13,10 +13,11 @@ from .. import logger
 from ..errors import ProcessorDefinitionError, RoutingError
 from ..operators import gather
 from ..sources import collect_groups, collect_rows, generate, scan_parquet, scan_rows, scan_text_lines, scratch_dir, write, write_text_single
+from .compiler import Compiler
 from .context import Configuration, Context, ThreadObserver
 from .graph import FlowGraph
 from .ports import InputPort, Movement, OutputPort
-from .processor import ArrowProcessor, Processor, Write
+from .processor import ArrowProcessor, Processor, StreamProcessor, Write
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -288,3 +289,41 @@ def log_destination(spark, t):
     logger.log("ERROR", "fourth")
     rows = [(line.split("] [")[2].split("]")[0], line.rsplit(" ", 1)[1]) for line in out.getvalue().splitlines()]
     return spark.createDataFrame(rows, "level string, message string")
+
+
+class _Spans(StreamProcessor):
+    """Per key the rows of both ports, and the first and last of the second port's values in its order."""
+
+    def __init__(self):
+        ports = [InputPort("a", GROUPED), InputPort("b", GROUPED, [-F.col("v")])]
+        super().__init__(ports, [OutputPort("out", schema="k bigint, a_rows bigint, b_rows bigint, high bigint, low bigint")])
+
+    def stream(self, pieces, task):
+        one = None
+        for port, table in pieces:
+            done = []
+            for k, v in zip(table["k"].to_pylist(), table["v"].to_pylist(), strict=True):
+                if one is None or k != one["k"]:
+                    if one is not None:
+                        done.append(one)
+                    one = {"k": k, "a_rows": 0, "b_rows": 0, "high": None, "low": None}
+                one[f"{port}_rows"] += 1
+                if port == "b":
+                    one["high"], one["low"] = v if one["high"] is None else one["high"], v
+            yield "out", done
+        if one is not None:
+            yield "out", [one]
+
+
+@query("""select k, count(*) filter (s = 'a') a_rows, count(*) filter (s = 'b') b_rows, max(v) filter (s = 'b') high, min(v) filter (s = 'b') low
+from (select c_custkey k, c_custkey v, 'a' s from customer union all select o_custkey, o_orderkey, 'b' from orders) group by k""")
+def streamed_groups(spark, t):
+    """Opaque code that reads two co-grouped ports as a stream."""
+    g = FlowGraph()
+    long = lambda c, name: F.col(c).cast("bigint").alias(name)
+    a = g.add_vertex("a", _source(t("customer").select(long("c_custkey", "k"), long("c_custkey", "v")), "k"))
+    b = g.add_vertex("b", _source(t("orders").select(long("o_custkey", "k"), long("o_orderkey", "v")), "k"))
+    spans = g.add_vertex("spans", _Spans())
+    g.add_edge(a.output_port(0), spans.input_port("a"))
+    g.add_edge(b.output_port(0), spans.input_port("b"))
+    return Compiler(spark, g).compile().frames[spans.id, 0]
