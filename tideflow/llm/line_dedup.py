@@ -47,6 +47,16 @@ def ends(hashes: Column) -> Column:
     return F.filter(F.sequence(F.lit(0), last), lambda i: (rolling(i) % MEAN == 0) | again(i) | (i == last))
 
 
+def flags(places: Column) -> Column:
+    """Array that is true at the given places (ascending, from 0) and ends with the last one; built and read in linear work."""
+
+    def upto(k: Column) -> Column:
+        before = F.when(k > 0, F.get(places, k - 1)).otherwise(-1)
+        return F.concat(F.array_repeat(F.lit(False), F.get(places, k) - before - 1), F.array(F.lit(True)))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(places) - 1), upto))
+
+
 def chunk_hash(text: Column) -> Column:
     return F.xxhash64(text)
 
@@ -116,8 +126,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", id: str = "doc_id", info: s
     out = out.join(gone.hint("merge"), out[id].eqNullSafe(gone[i3]) & (out[own] == gone[h3]), "left")
 
     def rebuilt(x: Column) -> Column:
-        lines, e = x["lines"], x["ends"]
-        goes = lambda j: F.coalesce(F.array_contains(left_out, j), F.lit(False))
+        return let(F.when(F.col(left_out).isNotNull(), flags(F.col(left_out))), lambda f: without(x["lines"], x["ends"], f))
+
+    def without(lines: Column, e: Column, gone_at: Column) -> Column:
+        goes = lambda j: F.coalesce(F.get(gone_at, j), F.lit(False))
 
         def kept_lines(j: Column) -> Column:
             """Of chunk j the lines after the boundary line that the chunk before it has, and without its own if that or the next one goes."""
