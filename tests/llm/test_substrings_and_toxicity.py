@@ -83,6 +83,15 @@ def test_substrings_of_string_ids_and_clashing_names(spark):
     assert got[None] == 0 and sum(n > 90 for n in got.values()) >= 1 and all(r._hash == "b" for r in out.collect())
 
 
+def test_substrings_without_repeats(spark):
+    """Texts that share a trigger and no string of 100 bytes."""
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    common = text(90)
+    docs = [(i, f"{text(150)}{common}{text(150)}") for i in range(3)]
+    check(suffix_dedup.dedup_substrings(spark.createDataFrame(docs, "doc_id bigint, text string")), docs)
+
+
 def test_substrings_query(spark, sf_dir, documents):
     want = brute_repeats(list(documents[["doc_id", "text"]].itertuples(index=False, name=None)))
     got = queries.QUERIES["op5_suffix_dedup"](spark, sf_dir).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()

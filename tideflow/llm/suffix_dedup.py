@@ -205,13 +205,15 @@ def _combined(found, ids, hashes):
 
 def union(ids, hashes, start, stop):
     """Byte ranges of each document, overlapping and touching ones joined."""
+    if not len(ids):
+        return ids, hashes, start, stop
     order = np.lexsort((start, hashes, ids))
     ids, hashes, start, stop = ids[order], hashes[order], start[order], stop[order]
     out_first = np.zeros(len(ids), bool)
     new_doc = np.ones(len(ids), bool)
     new_doc[1:] = (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])
     # running maximum of the stops inside each document
-    shift = np.cumsum(new_doc) * (int(stop.max()) + 1) if len(stop) else np.empty(0, np.int64)
+    shift = np.cumsum(new_doc) * (int(stop.max()) + 1)
     reach = np.maximum.accumulate(stop + shift) - shift
     out_first[:] = new_doc
     out_first[1:] |= start[1:] > reach[:-1]
