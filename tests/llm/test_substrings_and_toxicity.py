@@ -62,6 +62,50 @@ def test_substrings(spark, group_limit):
     check(suffix_dedup.dedup_substrings(df, group_limit=group_limit), numbered)
 
 
+def test_substrings_of_hot_triggers(spark, monkeypatch):
+    """Phrases that share a trigger and no string are not taken apart into suffixes; those that share strings still lose them."""
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    made, table = [], suffix_dedup.Workspace.table
+
+    def counted(self, df):
+        out = table(self, df)
+        if "suffix" in out.columns:
+            made.append(out.where("suffix is not null").count())
+        return out
+
+    monkeypatch.setattr(suffix_dedup.Workspace, "table", counted)
+    common, passage = text(60), text(160)
+    alone = [f"{text(90)}{common}{text(90)}" for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(alone)), "doc_id bigint, text string").repartition(4)
+    check(suffix_dedup.dedup_substrings(df, group_limit=30), list(enumerate(alone)))
+    assert sum(made) < len(alone)
+    edited = [passage[:i] + "#" + passage[i + 1 :] for i in range(0, 160, 3)]
+    docs = alone + [f"{text(90)}{p}{text(90)}" for p in [passage] * 60 + edited + edited[:9]] + [alone[7], text(30) + alone[8]]
+    numbered = list(enumerate(docs))
+    rng.shuffle(numbered)
+    df = spark.createDataFrame(numbered, "doc_id bigint, text string").repartition(4)
+    check(suffix_dedup.dedup_substrings(df, group_limit=30), numbered)
+    assert sum(made) > 0  # some strings are still compared one by one
+
+
+def test_pieces_of_phrases():
+    """Every string of a phrase lies in one piece, and equal strings lie in pieces of equal keys."""
+    rng = random.Random(8)
+    texts = [bytes(rng.choice(b"abcd") for _ in range(400)) for _ in range(8)]
+    texts += [t[20 + i : 200 + 9 * i] + t[:150] for i, t in enumerate(texts)]
+    keys = {}
+    for t in texts:
+        places = []
+        for first, last, at, *_ in zip(*suffix_dedup.phrases(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)])), strict=True):
+            for key, begin, piece in suffix_dedup.pieces_of(t[first : last + 100], int(at - first), int(last - first)):
+                for i in range(len(piece) - 99):
+                    places.append(int(first) + begin + i)
+                    assert piece[i : i + 100] == t[places[-1] : places[-1] + 100]
+                    assert keys.setdefault(piece[i : i + 100], key) == key
+        assert sorted(places) == list(range(len(t) - 99))
+
+
 def test_substrings_odd_rows(spark, odd_docs, no_docs):
     out = suffix_dedup.dedup_substrings(odd_docs)
     assert out.count() == odd_docs.count()

@@ -12,12 +12,17 @@ inside phrases of equal trigger.
   of more than ``GROUP`` phrases is hot: its phrases are dealt by trigger and content.
 * The dictionary: distinct phrases of one trigger are fetched and the suffixes that start in
   them are sorted by their first ``LENGTH`` bytes and then by corpus order; every suffix that is not
-  the first of its string is a repeat. The phrases of a hot trigger are sorted in batches, wherever
-  their contents took them; the first suffix of each string in a batch is dealt by its bytes and
-  compared with those of the other batches, so one string that most texts have is a row per batch.
-
-Hot triggers are counted in a pass of its own over the texts, and known by a filter of bounded
-size; a trigger that it takes for hot by mistake is treated alike in all places, hence rightly.
+  the first of its string is a repeat. A phrase of a hot trigger is cut into pieces: equal strings
+  have their trigger equally far from their start, so strings with that distance in one range of
+  ``CLASS`` lie inside pieces that share all bytes which the range has in common, 88 or more, and
+  pieces are dealt by those. Of equal pieces, tasks pass on one of a batch. Where more than ``GROUP`` pieces
+  still share these bytes, they are dealt by content and sorted in batches; the first suffix of each
+  string in a batch is dealt by its bytes and compared with those of the other batches, so one string
+  that most texts have is a row per batch.
+
+Hot triggers are counted in a pass of its own over the texts, hot bytes of pieces over the fetched
+ones, and both are known by filters of bounded size; one that a filter takes for hot by mistake is treated
+alike in all places, hence rightly.
 
 Only hashes, places and the distinct phrases of repeated triggers are shuffled, next to one
 join with the texts for each of the two passes over them.
@@ -28,6 +33,8 @@ operator and come out alike; rows with equal id and other text are ordered by a
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -38,6 +45,8 @@ from pyspark.sql import types as T
 from .common import Workspace, bitmaps, fresh, in_bitmaps, text_of
 
 LENGTH, KGRAM = 100, 24
+#: Distances of a string's trigger from its start that a piece of a hot trigger's phrase takes together.
+CLASS = 13
 #: Bytes parsed at once, phrases combined at once, phrases of a trigger that is not hot, phrases sorted at once.
 CHUNK, PHRASES, GROUP, BATCH = 1 << 20, 250_000, 1_000, 4_000
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -274,19 +283,39 @@ def _distinct(batches):
 FETCHED = "trigger bigint, salt bigint, id bigint, hash bigint, start bigint, bytes binary"
 
 
+def pieces_of(b: bytes, back: int, more: int):
+    """Pieces of a phrase, by distance of the trigger from the start of a string: a hash of the bytes that all such strings share, place in the phrase, bytes."""
+    for at in range((back - more) // CLASS * CLASS, back + 1, CLASS):
+        far = min(at + CLASS - 1, LENGTH - KGRAM)
+        key = hashlib.blake2b(b[back - at : back + LENGTH - far], digest_size=8, salt=bytes([at])).digest()
+        begin, end = back - min(far, back), back - max(at, back - more) + LENGTH
+        yield int.from_bytes(key, "little", signed=True), begin, b[begin:end]
+
+
 def _fetch(frames):
-    """Phrases' bytes from their texts."""
+    """Phrases' bytes from their texts, those of hot triggers in pieces, equal ones of a batch once; repeats have no bytes, and the trigger is their end."""
+    columns = ["trigger", "salt", "id", "hash", "start", "bytes"]
     for frame in frames:
-        out = []
+        out, first = [], {}
         for id, hash, b, places in zip(frame["id"], frame["hash"], frame["b"], frame["places"], strict=True):
             for p in places:
-                start, more = p["b"] >> 14, p["b"] & 127
-                out.append((p["a"], p["salt"], id, hash, start, b[start : start + more + LENGTH]))
-                if len(out) >= 50_000:
-                    yield pd.DataFrame(out, columns=["trigger", "salt", "id", "hash", "start", "bytes"])
-                    out = []
-        if out:
-            yield pd.DataFrame(out, columns=["trigger", "salt", "id", "hash", "start", "bytes"])
+                start, back, more = p["b"] >> 14, (p["b"] >> 7) & 127, p["b"] & 127
+                phrase = b[start : start + more + LENGTH]
+                if not p["salt"]:
+                    out.append((p["a"], 0, id, hash, start, phrase))
+                else:
+                    for key, begin, piece in pieces_of(phrase, back, more):
+                        place = id, hash, start + begin
+                        known = first.setdefault((key, piece), place)
+                        if place != known:
+                            first[key, piece] = min(place, known)
+                            again = max(place, known)
+                            out.append((again[2] + len(piece), 0, *again, None))
+                if len(out) + len(first) >= 50_000:
+                    yield pd.DataFrame(out + [(key, 1, *place, piece) for (key, piece), place in first.items()], columns=columns)
+                    out, first = [], {}
+        if out or first:
+            yield pd.DataFrame(out + [(key, 1, *place, piece) for (key, piece), place in first.items()], columns=columns)
 
 
 RESOLVED = "id bigint, hash bigint, a bigint, b bigint, suffix binary"
@@ -319,7 +348,7 @@ def ordered(rows: list[tuple]) -> tuple[np.ndarray, ...]:
 
 
 def _found(rows: list[tuple], hot: bool):
-    """Repeats among the suffixes of phrases as byte ranges; of a hot trigger also the suffixes that others may repeat or come before."""
+    """Repeats among the suffixes of phrases as byte ranges; of hot ones also the suffixes that others may repeat or come before."""
     heads, ids, hashes, starts, head, again = ordered(rows)
     i, h, a, b = union(ids[again], hashes[again], starts[again], starts[again] + LENGTH)
     yield pd.DataFrame({"id": i, "hash": h, "a": a, "b": b, "suffix": pd.Series([None] * len(i), dtype=object)})
@@ -329,7 +358,10 @@ def _found(rows: list[tuple], hot: bool):
 
 
 def _resolve(frames):
-    """Phrases sorted by trigger. Whole triggers are collected and sorted, hot ones in batches as they come."""
+    """Phrases sorted by trigger. Whole triggers are collected and sorted, hot ones in batches as they come.
+
+    A lone phrase repeats nothing, since no two of its strings have the trigger equally far from their start.
+    """
     held, current, trigger, hot = [], [], None, []
     for frame in frames:
         for t, salt, *row in zip(frame["trigger"], frame["salt"], frame["id"], frame["hash"], frame["start"], frame["bytes"], strict=True):
@@ -340,13 +372,13 @@ def _resolve(frames):
                     hot = []
                 continue
             if t != trigger:
-                held += current
+                held += current if len(current) > 1 else []
                 trigger, current = t, []
                 if len(held) >= BATCH:
                     yield from _found(held, False)
                     held = []
             current.append(tuple(row))
-    held += current
+    held += current if len(current) > 1 else []
     if held:
         yield from _found(held, False)
     if hot:
@@ -384,9 +416,14 @@ def repeated_ranges(docs: DataFrame, text: str, id: str, work: Workspace, group_
     dealt = parsed.select(*order, "salt").repartition("trigger", "salt").sortWithinPartitions(*order)
     marked = work.table(dealt.mapInArrow(_distinct, MARKED))
     places = marked.where("kind = 2").groupBy("id", "hash").agg(F.collect_list(F.struct("a", "b", "salt")).alias("places"))
-    fetched = keyed.join(places, ["id", "hash"]).mapInPandas(_fetch, FETCHED)
-    resolved = work.table(fetched.repartition("trigger", "salt").sortWithinPartitions("trigger").mapInPandas(_resolve, RESOLVED))
+    fetched = work.table(keyed.join(places, ["id", "hash"]).mapInPandas(_fetch, FETCHED))
+    shared = fetched.where("salt <> 0").groupBy("trigger").count().where(F.col("count") > group_limit)
+    still = in_bitmaps(fetched.where("bytes is not null"), bitmaps(shared.select(F.col("trigger").alias("h")), work), "trigger", "hot")
+    salt = F.when(F.col("hot") & (F.col("salt") != 0), F.xxhash64("bytes").bitwiseOR(1)).otherwise(0)
+    dealt = still.withColumn("salt", salt).drop("hot").repartition("trigger", "salt").sortWithinPartitions("trigger")
+    resolved = work.table(dealt.mapInPandas(_resolve, RESOLVED))
     out = marked.where("kind = 1").select("id", "hash", "a", "b").union(resolved.where("suffix is null").select("id", "hash", "a", "b"))
+    out = out.union(fetched.where("bytes is null").select("id", "hash", F.col("start").alias("a"), F.col("trigger").alias("b")))
     if not resolved.where("suffix is not null").isEmpty():
         spread = resolved.where("suffix is not null").repartition("suffix").sortWithinPartitions("suffix", "id", "hash", "a")
         out = out.union(spread.mapInArrow(_later, "id bigint, hash bigint, a bigint, b bigint"))
